@@ -26,10 +26,10 @@ def numbered_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "lineitem").select(
         F.expr("l_orderkey div 4").alias("doc_id"),
         (1 + F.col("l_suppkey") % 2).cast("int").alias("page"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "l_extendedprice",
     )
     numbered = number_rows(
-        base, PAGE, F.col("l_partkey") % 4, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "item_seq"
+        base, PAGE, F.col("l_partkey") % 4, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q", "l_extendedprice"], "item_seq"
     )
     return numbered.join(part, "l_partkey")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The characters counted as white space, the glyph replacements,
 # the judgement words cut from the end of a limit and the unit spellings.
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+WS_CHARS = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 WIDE_GLYPHS, PLAIN_GLYPHS = "＋～〜∼％＜＞", "+~~~%<>"
 JUDGEMENT_WORDS = "success(?:ful)?|pass(?:ed)?|accept(?:ed|able)?|good|ok|qualified|conform(?:ed|ing)?"
 UNIT_WORDS = r"g/cm3?|kg/cm2?|g/10\s*min|g/l|m2/g|[\u03BC\u00B5\u039C]m|um|mm|ppm|cm|kg|wt|sec|min(?!\.)|\(m/m\)"
@@ -18,7 +19,7 @@ _JUDGEMENT_TAIL = (
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def squeeze_ws(c: Column) -> Column:
@@ -44,7 +45,8 @@ def normalize_glyphs(c: Column) -> Column:
 
 
 def strip_judgement(c: Column) -> Column:
-    return F.regexp_replace(c, _JUDGEMENT_TAIL, "")
+    ends_in_word = c.rlike(rf"[A-Za-z.](?:{WS})*$")
+    return F.when(ends_in_word, F.regexp_replace(c, _JUDGEMENT_TAIL, "")).otherwise(c)
 
 
 def strip_units(c: Column) -> Column:

@@ -7,7 +7,7 @@ NUM = r"-?\d+(?:[.,]\d+)?"
 ITEMS = """
 b0 AS (SELECT l_orderkey // 4 AS doc_id, CAST(1 + l_suppkey % 2 AS INT) AS page,
          row_number() OVER (PARTITION BY l_orderkey // 4, l_suppkey % 2
-                            ORDER BY l_partkey % 4, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS item_seq,
+                            ORDER BY l_partkey % 4, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT), l_extendedprice) AS item_seq,
          l_partkey, l_suppkey, CAST(l_quantity AS INT) AS q, p_name, lower(p_type) AS p_type, p_size,
          1 + p_size % 20 AS lo, 26 + p_size % 20 AS hi
        FROM lineitem JOIN part ON l_partkey = p_partkey),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from specgate.oracle import judging as judging_sql
-from specgate.plans import judging
+import importlib
 
-QUERIES = {**judging.QUERIES}
-ORACLES = {**judging_sql.SQL}
+FAMILIES = ["judging", "reporting", "guarding"]
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+for _family in FAMILIES:
+    QUERIES.update(importlib.import_module(f"specgate.plans.{_family}").QUERIES)
+    ORACLES.update(importlib.import_module(f"specgate.oracle.{_family}").SQL)

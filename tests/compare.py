@@ -56,12 +56,15 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from specgate.session import get_spark
 
-    sf = "/root/testdata/sf0.01"
-    wanted = sys.argv[1:]
+    sf = "/root/testdata/sf" + __import__("os").environ.get("SF", "0.01")
+    fam = [a[1:] for a in sys.argv[1:] if a.startswith("@")]
+    wanted = [a for a in sys.argv[1:] if not a.startswith("@")]
+    for f in fam:
+        wanted += list(__import__(f"specgate.plans.{f}", fromlist=["QUERIES"]).QUERIES)
     spark, con = get_spark(), duck(sf)
     bad = 0
     for name, q in entry.queries().items():
-        if wanted and not any(w in name for w in wanted):
+        if wanted and name not in wanted:
             continue
         t = time.time()
         try:
