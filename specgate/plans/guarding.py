@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from specgate import fixtures as fx
 from specgate.operators import guards as G
 from specgate.operators import verdict as V
+from specgate.session import materialize
 
 ID = fx.ITEM
 
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
-    return V.evaluate(fx.items(spark, sf))
+    return materialize(V.evaluate(fx.items(spark, sf)))
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(fx.lines(spark, sf))
 
 
 def _show(d: DataFrame) -> DataFrame:
@@ -21,7 +26,7 @@ def _show(d: DataFrame) -> DataFrame:
 
 
 def guard_fails(spark: SparkSession, sf: str) -> DataFrame:
-    return _show(G.guard_fails(_rows(spark, sf), fx.lines(spark, sf), ID))
+    return _show(G.guard_fails(_rows(spark, sf), _lines(spark, sf), ID))
 
 
 def guard_outliers(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,7 +37,7 @@ def guard_outliers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def guard_passes(spark: SparkSession, sf: str) -> DataFrame:
-    return _show(G.guard_passes(_rows(spark, sf), fx.lines(spark, sf), ID))
+    return _show(G.guard_passes(_rows(spark, sf), _lines(spark, sf), ID))
 
 
 def shifted_lines(lines: DataFrame) -> DataFrame:
@@ -43,7 +48,7 @@ def shifted_lines(lines: DataFrame) -> DataFrame:
 
 
 def guard_column_shift(spark: SparkSession, sf: str) -> DataFrame:
-    return _show(G.guard_column_shift(_rows(spark, sf), shifted_lines(fx.lines(spark, sf)), ID))
+    return _show(G.guard_column_shift(_rows(spark, sf), shifted_lines(_lines(spark, sf)), ID))
 
 
 def drop_ungrounded(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +56,7 @@ def drop_ungrounded(spark: SparkSession, sf: str) -> DataFrame:
     items = fx.items(spark, sf).withColumn(
         "name", F.when(F.col("item_seq") % 2 == 0, F.concat(F.lit("Zq"), F.col("item_seq"), F.lit(" vx"))).otherwise(F.col("name"))
     )
-    lines = fx.lines(spark, sf)
+    items, lines = materialize(items), _lines(spark, sf)
     kept, dropped = G.drop_ungrounded(items, lines, ID)
     return kept.select(*ID, F.lit(True).alias("kept")).unionByName(dropped.select(*ID, F.lit(False).alias("kept")))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "specgate", cpus: str | None = None) -> SparkSession:
@@ -34,3 +35,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return configured or sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several branches read to the shared folder.
+
+    It survives lost executors, cuts the lineage, and gives the planner true sizes
+    for its join choice.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/specgate-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
