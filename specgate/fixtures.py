@@ -71,8 +71,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_of_items(items(spark, sf_dir))
+
+
+def lines_of_items(i: DataFrame) -> DataFrame:
     """Page lines with missing names, foreign results and stamp lines."""
-    i = items(spark, sf_dir)
     return i.selectExpr(
         "doc_id", "page", "item_seq AS line_no",
         """CASE WHEN item_seq % 9 = 0 THEN 'By : QA Dept.'

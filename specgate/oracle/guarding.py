@@ -83,9 +83,9 @@ SHIFT = f"""mv AS (SELECT doc_id, page, line_no, CASE WHEN len({SPLIT}) = 3 AND
       FROM ev WHERE status IN ('PASS', 'FAIL')),
   rn AS (SELECT *, TRY_CAST(CASE WHEN regexp_matches(replace(raw, ' ', ''), '^[-+]?\\d+([.,]\\d+)?$') THEN replace(replace(raw, ' ', ''), ',', '.') END AS DOUBLE) AS rv FROM rw WHERE raw <> '' AND len(sp) > 0),
   jn AS (SELECT r.doc_id, r.page, r.item_seq, r.rv, o.sn,
-      list_filter(range(2, len(cs) + 1), lambda i: len(list_filter(sp, lambda s: len(list_filter(cn[i], lambda x: abs(x - s) < 1e-9)) = 0)) = 0) AS at
+      list_filter(range(2, len(cs) + 1), lambda i: len(list_filter(sp, lambda s: len(list_filter(cn[i], lambda x: abs(x - s) < 1e-9)) = 0)) = 0) AS pos
       FROM rn r JOIN one o ON r.doc_id = o.doc_id AND r.page = o.page AND (abs(sn[1] - rv) < 1e-9 OR lower(replace(cs[1], ' ', '')) = lower(replace(raw, ' ', '')))),
-  sh AS (SELECT DISTINCT {ID} FROM jn WHERE len(at) > 0 AND len(list_filter(list_slice(sn, at[1] + 1, len(sn)), lambda x: x IS NOT NULL AND (rv IS NULL OR abs(x - rv) >= 1e-9))) > 0)"""
+  sh AS (SELECT DISTINCT {ID} FROM jn WHERE len(pos) > 0 AND len(list_filter(list_slice(sn, pos[1] + 1, len(sn)), lambda x: x IS NOT NULL AND (rv IS NULL OR abs(x - rv) >= 1e-9))) > 0)"""
 
 GROUND = f"""it AS (SELECT * EXCLUDE (name), CASE WHEN item_seq % 2 = 0 THEN 'Zq' || item_seq || ' vx' ELSE name END AS name FROM items),
   nt AS (SELECT *, list_filter(string_split(regexp_replace(lower(name), '[^a-z]+', ' ', 'g'), ' '), lambda t: length(t) >= 3) AS nw,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["judging", "reporting", "guarding"]
+FAMILIES = ["judging", "reporting", "guarding", "recovering"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
