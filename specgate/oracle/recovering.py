@@ -14,7 +14,7 @@ LAST = """sl AS (SELECT doc_id, page, item_seq AS line_no, CASE WHEN item_seq %
   CASE WHEN item_seq % 3 = 0 THEN '  |  Pass' ELSE '' END AS line FROM items)"""
 TAIL = rf"({NUM}\s*[-~]\s*{NUM}|\d+(?:[.,]\d+)?\s*(?:Max|Min)\.?|(?:≤|≥|<|>)\s*{NUM})\s*$"
 SPECS = rf"""k AS (SELECT *, trim(regexp_replace(replace(line, '|', ' '), '\s+', ' ', 'g')) AS key FROM sl),
- ls AS (SELECT *, trim(regexp_replace(regexp_extract(trim(regexp_replace(trim(regexp_replace(key, '\s*\bPass$', '')), '[^0-9A-Za-z%.~\-≤≥<>=]+$', '')), '(?i){TAIL}', 1), '\s+', ' ', 'g')) AS sp,
+ ls AS (SELECT *, trim(regexp_replace(regexp_extract(trim(regexp_replace(trim(regexp_replace(key, '\s*\b(Pass|Success)$', '')), '[^0-9A-Za-z%.~\-≤≥<>=]+$', '')), '(?i){TAIL}', 1), '\s+', ' ', 'g')) AS sp,
    regexp_matches(regexp_replace(key, '(?i){TAIL}', ''), '[A-Za-z]') AS named FROM k),
  en AS (SELECT doc_id, page, key, arg_min(sp, line_no) AS sp, min(line_no) AS line_no FROM ls WHERE sp <> '' AND named GROUP BY ALL)"""
 

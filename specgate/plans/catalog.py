@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["judging", "reporting", "guarding", "recovering"]
+FAMILIES = ["judging", "reporting", "guarding", "recovering", "layouting"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -33,37 +33,32 @@ def number_rows(df: DataFrame, keys: list[str], band: Column, order: list[str],
 
 
 def islands(
-    df: DataFrame, keys: list[str], value: str, seq: list[str], gap: str | float, out: str, band_width: float
+    df: DataFrame, keys: list[str], value: str, seq: list[str], gap: str | float, out: str, band_width: float,
+    order: str | None = None,
 ) -> DataFrame:
-    """0-based island number of `value` inside the group.
+    """0-based island number of `value` inside the group, scanned by `order` (the value itself by default).
 
     A new island starts where the step from the previous value exceeds `gap`, a
-    number or a column that is constant per group. Bands are `band_width` wide,
-    so a group of any size is scanned by many tasks.
+    number or a column that is constant per group. Bands of the order column are
+    `band_width` wide, so a group of any size is scanned by many tasks.
     """
+    order = order or value
     limit = F.col(gap) if isinstance(gap, str) else F.lit(float(gap))
-    banded = df.withColumn("__b", F.floor(F.col(value) / band_width))
-    local = Window.partitionBy(*keys, "__b").orderBy(value, *seq)
-    step = F.col(value) - F.lag(value).over(local)
+    banded = df.withColumn("__b", F.floor(F.col(order) / band_width))
+    local = Window.partitionBy(*keys, "__b").orderBy(order, *seq)
+    step = F.abs(F.col(value) - F.lag(value).over(local))
     banded = banded.withColumn("__new", F.when(step <= limit, 0).otherwise(1))
-    banded = banded.withColumn(
-        "__i", F.sum("__new").over(local.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    banded = banded.withColumn("__i", F.sum("__new").over(local.rowsBetween(Window.unboundedPreceding, 0)))
     across = Window.partitionBy(*keys).orderBy("__b")
+    at = F.struct(order, *seq)
     per_band = banded.groupBy(*keys, "__b").agg(
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"),
+        F.min_by(value, at).alias("__lo"), F.max_by(value, at).alias("__hi"),
         F.max("__i").alias("__n"), F.first(limit).alias("__g"),
     )
-    per_band = per_band.withColumn(
-        "__joined", F.when(F.col("__lo") - F.lag("__hi").over(across) <= F.col("__g"), 1).otherwise(0)
-    )
-    per_band = per_band.withColumn(
-        "__o",
-        F.coalesce(
-            F.sum(F.col("__n") - F.col("__joined")).over(across.rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ) - F.col("__joined"),
-    ).select(*keys, "__b", "__o")
+    touching = F.abs(F.col("__lo") - F.lag("__hi").over(across)) <= F.col("__g")
+    per_band = per_band.withColumn("__joined", F.when(touching, 1).otherwise(0))
+    before = F.sum(F.col("__n") - F.col("__joined")).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    per_band = per_band.withColumn("__o", F.coalesce(before, F.lit(0)) - F.col("__joined")).select(*keys, "__b", "__o")
     joined = _attach(banded, per_band, [*keys, "__b"], [])
     return joined.withColumn(out, F.col("__i") + F.col("__o") - 1).drop("__b", "__new", "__i", "__o")
 
