@@ -189,7 +189,7 @@ def column_shift_suspects(rows: DataFrame, lines: DataFrame, row_id: list[str])
         ))).alias("key"),
     ).where(F.size("spec") > 0)
     cells = lines.select(*PAGE, "line_no", T.split_cells(F.col("line")).alias("cells")).where(F.size("cells") >= 3)
-    first = F.col("cells")[0]
+    first = F.get("cells", F.lit(0))
     l = cells.select(
         *PAGE, "line_no", F.transform("cells", N.cell_numbers).alias("cn"), F.transform("cells", N.single_number).alias("sn"),
         F.explode(F.array_compact(F.array(
