@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["judging", "reporting", "guarding", "recovering", "layouting", "gridding"]
+FAMILIES = ["judging", "reporting", "guarding", "recovering", "layouting", "gridding", "ingesting"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
