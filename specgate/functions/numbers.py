@@ -21,10 +21,8 @@ def token_value(tok: Column) -> Column:
 def to_num(c: Column) -> Column:
     """Comma is the decimal sign unless a dot is present, then it is dropped."""
     t = trim_ws(c)
-    t = F.when(t.contains(",") & ~t.contains("."), F.regexp_replace(t, ",", ".")).otherwise(
-        F.regexp_replace(t, ",", "")
-    )
-    return F.when(t.rlike(_PLAIN_NUMBER), t.try_cast("double"))
+    plain = F.when(t.contains("."), F.translate(t, ",", "")).otherwise(F.translate(t, ",", "."))
+    return F.regexp_extract(plain, _PLAIN_NUMBER, 0).try_cast("double")
 
 
 def lone_value(c: Column) -> Column:

@@ -36,48 +36,40 @@ def _bound(op: Column, value: Column, raw: Column) -> Column:
     return F.struct(op.alias("op"), none.alias("min"), none.alias("max"), value.alias("value"), raw.alias("raw"))
 
 
-def _parts(bare: Column) -> Column:
-    """Everything the three printed shapes can yield, each match evaluated once."""
-    return F.struct(
-        token_value(F.regexp_extract(bare, _TWO_NUMBERS, 1)).alias("a"),
-        F.regexp_extract(bare, _TWO_NUMBERS, 2).isin("±", "+/-", "+-").alias("tolerance"),
-        token_value(F.regexp_extract(bare, _TWO_NUMBERS, 3)).alias("b"),
-        F.regexp_extract(bare, _TWO_SIDES, 1).alias("left"),
-        F.regexp_extract(bare, _TWO_SIDES, 2).alias("right"),
-        F.regexp_extract(bare, _ONE_NUMBER, 1).alias("sign"),
-        token_value(F.regexp_extract(bare, _ONE_NUMBER, 2)).alias("num"),
-        F.lower(F.regexp_extract(bare, _ONE_NUMBER, 3)).alias("word"),
-    )
+def _two_numbers(bare: Column, clean: Column) -> Column:
+    a, b = (token_value(F.regexp_extract(bare, _TWO_NUMBERS, g)) for g in (1, 3))
+    tolerance = F.regexp_extract(bare, _TWO_NUMBERS, 2).isin("±", "+/-", "+-")
+    return F.when(tolerance, _between(a - b, a + b, clean)).otherwise(_between(F.least(a, b), F.greatest(a, b), clean))
 
 
-def _mended(p: Column) -> Column:
-    """Letters are read as digits only where both sides of a range hold a real digit."""
-    usable = p["a"].isNull() & p["left"].rlike(r"\d") & p["right"].rlike(r"\d")
-    return F.when(usable, F.struct(
-        to_num(repair_ocr_digits(trim_ws(p["left"]))).alias("a"),
-        to_num(repair_ocr_digits(trim_ws(p["right"]))).alias("b"),
-    ))
+def _one_number(bare: Column, clean: Column) -> Column:
+    sign, word = F.regexp_extract(bare, _ONE_NUMBER, 1), F.lower(F.regexp_extract(bare, _ONE_NUMBER, 3))
+    mark = F.concat(sign, F.substring(word, 1, 3))
+    op = (
+        F.when(mark == "", "eq").when(mark.isin("≤", "≦", "<=", "max"), "le").when(mark.isin("≥", "≧", ">=", "min"), "ge")
+        .when(mark == "<", "lt").when(mark == ">", "gt")
+    )
+    value = token_value(F.regexp_extract(bare, _ONE_NUMBER, 2))
+    # A sign together with a word is no known notation.
+    return F.when(~mark.rlike("[≤≦≥≧<>=]m"), _bound(op, value, clean))
 
 
-def _one_number(p: Column, clean: Column) -> Column:
-    sign, word = p["sign"], p["word"]
-    op = (
-        F.when(sign.isin("≤", "≦", "<=") | word.startswith("max"), "le")
-        .when(sign.isin("≥", "≧", ">=") | word.startswith("min"), "ge")
-        .when(sign == "<", "lt")
-        .when(sign == ">", "gt")
-        .otherwise("eq")
+def _mended(bare: Column, clean: Column) -> Column:
+    """Letters are read as digits only where both sides of a range hold a real digit."""
+    left, right = F.regexp_extract(bare, _TWO_SIDES, 1), F.regexp_extract(bare, _TWO_SIDES, 2)
+    a, b = to_num(repair_ocr_digits(trim_ws(left))), to_num(repair_ocr_digits(trim_ws(right)))
+    return F.when(
+        left.rlike(r"\d") & right.rlike(r"\d") & a.isNotNull() & b.isNotNull(),
+        _between(F.least(a, b), F.greatest(a, b), clean),
     )
-    return F.when(p["num"].isNotNull() & ((sign == "") | (word == "")), _bound(op, p["num"], clean))
 
 
-def _build(p: Column, m: Column, clean: Column) -> Column:
-    a, b = p["a"], p["b"]
+def _build(bare: Column, clean: Column) -> Column:
+    """The three shapes exclude each other; groups are extracted only after a match."""
     return (
-        F.when(a.isNotNull() & p["tolerance"], _between(a - b, a + b, clean))
-        .when(a.isNotNull(), _between(F.least(a, b), F.greatest(a, b), clean))
-        .when(m["a"].isNotNull() & m["b"].isNotNull(), _between(F.least(m["a"], m["b"]), F.greatest(m["a"], m["b"]), clean))
-        .otherwise(_one_number(p, clean))
+        F.when(bare.rlike(_TWO_NUMBERS), _two_numbers(bare, clean))
+        .when(bare.rlike(_ONE_NUMBER), _one_number(bare, clean))
+        .when(bare.rlike(r"\d.*[~\-–—].*\d"), _mended(bare, clean))
     )
 
 
@@ -96,10 +88,8 @@ def with_parsed(df: DataFrame, inputs: dict[str, str]) -> DataFrame:
 
     df = attach(df, **step(lambda o: {"clean": clean_spec(F.col(inputs[o]))}))
     df = attach(df, **step(lambda o: {"bare": strip_units(c("clean", o))}))
-    df = attach(df, **step(lambda o: {"parts": _parts(c("bare", o))}))
-    df = attach(df, **step(lambda o: {"mended": _mended(c("parts", o))}))
-    df = attach(df, **{o: _build(c("parts", o), c("mended", o), c("clean", o)) for o in inputs})
-    return df.drop(*[f"__{k}_{o}" for o in inputs for k in ("clean", "bare", "parts", "mended")])
+    df = attach(df, **{o: _build(c("bare", o), c("clean", o)) for o in inputs})
+    return df.drop(*[f"__{k}_{o}" for o in inputs for k in ("clean", "bare")])
 
 
 def with_resolved_spec(df: DataFrame, out: str = "spec") -> DataFrame:

@@ -51,7 +51,8 @@ def strip_judgement(c: Column) -> Column:
 
 def strip_units(c: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(c, rf"{WS}+", " "), "[%℃°]", "")
-    return trim_ws(F.regexp_replace(bare, f"(?i){UNIT_WORDS}", ""))
+    stripped = trim_ws(F.regexp_replace(bare, f"(?i){UNIT_WORDS}", ""))
+    return F.when(c.rlike(r"[A-Za-z%℃°\u03BC\u00B5\u039C\s]"), stripped).otherwise(c)
 
 
 def repair_ocr_digits(c: Column) -> Column:

@@ -9,7 +9,7 @@ from specgate.functions.binding import attach
 from specgate.functions.numbers import number_text
 from specgate.functions.results import with_result
 from specgate.functions.specs import with_resolved_spec
-from specgate.functions.text import blank_to_null
+from specgate.functions.text import trim_ws
 
 # Codes that mean "the columns or rows may have been read in the wrong order".
 COLLAPSE_CODES = ["EQ_COPY", "EQ_NO_DIRECTION", "FAIL_GUARD", "COLUMN_SHIFT"]
@@ -107,18 +107,17 @@ def evaluate(items: DataFrame) -> DataFrame:
 
     One narrow stage: no shuffle, no Python worker.
     """
-    s, r = F.col("spec"), F.col("res")
-    df = judge(with_result(with_resolved_spec(items)))
-    cleaned = attach(df, **{
-        "__name": F.coalesce(blank_to_null(F.col("name")), F.lit("(unknown)")),
-        "__unit": blank_to_null(F.col("unit")),
-        "__method": blank_to_null(F.col("method")),
-        "__spec": F.coalesce(s["raw"], F.col("spec_raw")),
-        "result_raw": F.coalesce(r["raw"], F.col("result")),
-    })
-    renamed = {"name": "__name", "unit": "__unit", "method": "__method", "spec_raw": "__spec", "result": "value"}
-    gone = [*renamed.values(), "spec", "res", "spec_min", "spec_max"]
-    return cleaned.withColumns({n: F.col(c) for n, c in renamed.items()}).drop(*gone)
+    df = attach(items, **{f"__{c}": trim_ws(F.col(c)) for c in ("name", "unit", "method")})
+    df = judge(with_result(with_resolved_spec(df)))
+
+    def shown(c: str) -> Column:
+        return F.when(F.col(f"__{c}") != "", F.col(f"__{c}"))
+
+    return df.withColumns({
+        "result_raw": F.coalesce(F.col("res")["raw"], F.col("result")),
+        "name": F.coalesce(shown("name"), F.lit("(unknown)")), "unit": shown("unit"), "method": shown("method"),
+        "spec_raw": F.coalesce(F.col("spec")["raw"], F.col("spec_raw")), "result": F.col("value"),
+    }).drop("__name", "__unit", "__method", "spec", "res", "value", "spec_min", "spec_max")
 
 
 def with_reason(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["judging", "reporting", "guarding", "recovering", "layouting", "gridding", "ingesting"]
+FAMILIES = ["judging", "reporting", "guarding", "recovering", "layouting", "gridding", "ingesting", "certify"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -47,7 +47,7 @@ def dedupe_by_content(spark: SparkSession, sf: str) -> DataFrame:
 def dedupe_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = fx.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    keyed = stream.select("ts", F.sha2(F.concat_ws("|", "event_type", "user_id", "props"), 256).alias("sha256"))
+    keyed = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.sha2(F.concat_ws("|", "event_type", "user_id", "props"), 256).alias("sha256"))
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     I.run_available(I.dedupe_stream(keyed, "ts", "sha256", "3650 days"), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").select("sha256")
