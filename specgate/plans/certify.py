@@ -51,7 +51,7 @@ def certify(
 
 def certify_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Counts per page after the whole chain over all items."""
-    items = materialize(fx.items(spark, sf))
+    items = fx.items(spark, sf)
     rows = certify(items, materialize(fx.lines_of_items(items)), fx.ITEM)
     return O.summarize(rows, fx.PAGE)
 

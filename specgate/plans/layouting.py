@@ -62,7 +62,7 @@ def merge_slivers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def geometry_grid(spark: SparkSession, sf: str) -> DataFrame:
-    t = materialize(fx.tokens(spark, sf))
+    t = fx.tokens(spark, sf)
     return L.geometry_grid(t, L.merge_slivers(geometry(t)))
 
 
@@ -82,7 +82,7 @@ def hint_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def header_direction_hints(spark: SparkSession, sf: str) -> DataFrame:
-    return L.header_direction_hints(hint_tokens(materialize(fx.tokens(spark, sf))))
+    return L.header_direction_hints(hint_tokens(fx.tokens(spark, sf)))
 
 
 def pick_rotation(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +124,7 @@ def sieve_lines(items: DataFrame) -> DataFrame:
 
 
 def _sieve(spark: SparkSession, sf: str):
-    items = materialize(fx.items(spark, sf))
+    items = fx.items(spark, sf)
     lines = sieve_lines(items)
     rows = materialize(G.guard_column_shift(V.evaluate(sieve_items(items)), lines, ID))
     return rows, lines
