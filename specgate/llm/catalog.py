@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from specgate.llm import mixing, sharding
+from specgate.llm import mixing, packing, sharding, token_files
 
 QUERIES = {
+    "op2_token_files": token_files.op2_token_files,
+    "op3_best_fit": packing.op3_best_fit,
     "op7_label_propagation": sharding.op7_label_propagation,
     "op10_systematic_mix": mixing.op10_systematic_mix,
 }

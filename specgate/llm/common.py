@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def on_workers(function: Callable, *args) -> Callable:
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text; a longer text is a batch of its own."""
     for batch in batches:
-        sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()]
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > most:
