@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from specgate.llm import minhash, mixing, packing, sharding, token_files
+from specgate.llm import minhash, mixing, packing, sharding, token_files, toxicity
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op3_best_fit": packing.op3_best_fit,
     "op7_label_propagation": sharding.op7_label_propagation,
     "op8_inverted_join": minhash.op8_inverted_join,
+    "op9_levenshtein": toxicity.op9_levenshtein,
     "op10_systematic_mix": mixing.op10_systematic_mix,
 }
 ORACLES = {"op10_systematic_mix": mixing.SQL}
