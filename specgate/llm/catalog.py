@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from specgate.llm import minhash, mixing, packing, sharding, token_files, toxicity
+from specgate.llm import minhash, mixing, packing, sharding, suffixes, token_files, toxicity
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op3_best_fit": packing.op3_best_fit,
+    "op6_sparse_suffixes": suffixes.op6_sparse_suffixes,
     "op7_label_propagation": sharding.op7_label_propagation,
     "op8_inverted_join": minhash.op8_inverted_join,
     "op9_levenshtein": toxicity.op9_levenshtein,
