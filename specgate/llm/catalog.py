@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from specgate.llm import minhash, mixing, packing, sharding, suffixes, token_files, toxicity
+from specgate.llm import caps, minhash, mixing, packing, sharding, suffixes, token_files, toxicity
 
 QUERIES = {
+    "op1_spherical_caps": caps.op1_spherical_caps,
     "op2_token_files": token_files.op2_token_files,
     "op3_best_fit": packing.op3_best_fit,
     "op6_sparse_suffixes": suffixes.op6_sparse_suffixes,
