@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from specgate.llm import blocks, caps, minhash, mixing, packing, sharding, suffixes, token_files, toxicity
+from specgate.llm import audio, blocks, caps, minhash, mixing, packing, sharding, suffixes, token_files, toxicity
 
 QUERIES = {
     "op1_spherical_caps": caps.op1_spherical_caps,
     "op2_token_files": token_files.op2_token_files,
     "op3_best_fit": packing.op3_best_fit,
+    "op4_chroma_fingerprints": audio.op4_chroma_fingerprints,
     "op5_block_labeller": blocks.op5_block_labeller,
     "op6_sparse_suffixes": suffixes.op6_sparse_suffixes,
     "op7_label_propagation": sharding.op7_label_propagation,

@@ -16,6 +16,9 @@ from specgate.session import checkpoint_dir
 #: Words are maximal runs of characters other than space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of rows that reach a Python worker at once, so that many long texts need no more memory than short ones.
+ARROW_BYTES = 32 << 20
+
 
 class Scratch:
     """Intermediate tables in the cluster's shared folder (`spark.checkpoint.dir`).
@@ -28,6 +31,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/specgate-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
