@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from specgate.functions.text import drop_ws, normalize_glyphs, trim_ws
+from specgate.functions.text import WS, drop_ws, normalize_glyphs, trim_ws
 
 # Fixed value: one printed number; comma or dot is its only separator.
 NUM = r"-?\d+(?:[.,]\d+)?"
@@ -42,7 +42,7 @@ def number_strings(c: Column) -> Column:
 
 def join_split_decimals(c: Column) -> Column:
     """'1. 09' is one number that the OCR engine split."""
-    return F.regexp_replace(c, r"(\d)\.\s+(\d)", "$1.$2")
+    return F.regexp_replace(c, rf"(\d)\.{WS}+(\d)", "$1.$2")
 
 
 def number_tokens(strings: Column) -> Column:
@@ -69,7 +69,7 @@ def cell_numbers(cell: Column) -> Column:
     """All numbers of a cell; a dash between two numbers separates them."""
     t = join_split_decimals(cell)
     t = F.regexp_replace(t, "[~–—〜～∼±]", " ")
-    t = F.regexp_replace(t, r"(\d)\s*-\s*(\d)", "$1 $2")
+    t = F.regexp_replace(t, rf"(\d){WS}*-{WS}*(\d)", "$1 $2")
     return number_values(t)
 
 

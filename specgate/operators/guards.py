@@ -164,7 +164,7 @@ def guard_passes(rows: DataFrame, lines: DataFrame, row_id: list[str]) -> DataFr
         *row_id, "res", "bound", F.col("line_no").alias("anchor"),
         F.explode(F.sequence(F.col("line_no") + 1, F.col("line_no") + 7)).alias("line_no"),
     ).join(numbers, [*PAGE, "line_no"])
-    below = below.withColumns({"stop": F.col("line").rlike(r"^\d+\s*[|]"), "ok": prints("nums")})
+    below = below.withColumns({"stop": F.col("line").rlike(rf"^\d+{T.WS}*[|]"), "ok": prints("nums")})
     first = below.groupBy(*row_id, "anchor").agg(
         F.min(F.when(F.col("stop"), F.col("line_no"))).alias("stop_at"),
         F.min(F.when(F.col("ok"), F.col("line_no"))).alias("ok_at"),

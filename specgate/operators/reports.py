@@ -86,11 +86,9 @@ def keep_best_hq(rows: DataFrame, keys: list[str], incumbent: str, challenger: s
     return rows.join(d.select(*keys, "variant"), [*keys, "variant"], "left_semi")
 
 
-def pass_identity() -> Column:
-    return F.concat_ws(
-        "|", F.lower(trim_ws(F.col("name"))), _key(number_text(F.col("min"))), _key(number_text(F.col("max"))),
-        _key(F.col("spec_raw")), _key(number_text(F.col("result"))),
-    )
+def pass_identity() -> list[Column]:
+    """What makes two PASS rows the same: name, limits, printed limit and result; numbers are compared as numbers."""
+    return [F.lower(trim_ws(F.col("name"))), F.col("min"), F.col("max"), _key(F.col("spec_raw")), F.col("result")]
 
 
 def near_boundary(lo: Column, hi: Column, value: Column) -> Column:
@@ -105,14 +103,17 @@ def provenance_flags(
     best: DataFrame, incumbent_rows: DataFrame, keys: list[str], challenger: str, structural: Column
 ) -> DataFrame:
     """A challenger PASS the incumbent does not confirm is reviewed (with ruling lines only near a limit)."""
+    ids = [f"__id{i}" for i in range(len(pass_identity()))]
     confirmed = incumbent_rows.where(_is("PASS")).select(
-        *keys, pass_identity().alias("__id"), F.lit(True).alias("__seen")
-    ).distinct()
-    d = best.withColumn("__id", pass_identity()).join(confirmed, [*keys, "__id"], "left")
+        *[F.col(k).alias(f"__{k}") for k in keys], *[c.alias(f"_{i}") for c, i in zip(pass_identity(), ids, strict=True)],
+        F.lit(True).alias("__seen")).distinct()
+    d = best.withColumns(dict(zip(ids, pass_identity(), strict=True)))
+    same = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col(i).eqNullSafe(F.col(f"_{i}")) for i in ids]
+    d = d.join(confirmed, same, "left")
     doubt = (F.col("variant") == challenger) & _is("PASS") & F.col("__seen").isNull() & (
         ~structural | near_boundary(F.col("min"), F.col("max"), F.col("result"))
     )
-    return d.withColumn("needs_review", F.col("needs_review") | doubt).drop("__id", "__seen")
+    return d.withColumn("needs_review", F.col("needs_review") | doubt).drop("__seen", *ids, *[f"_{i}" for i in ids], *[f"__{k}" for k in keys])
 
 
 def carry_header(winner: DataFrame, incumbent: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specgate.functions.binding import attach
-from specgate.functions.numbers import number_text
 from specgate.functions.results import with_result
 from specgate.functions.specs import with_resolved_spec
 from specgate.functions.text import trim_ws
@@ -14,31 +13,6 @@ from specgate.functions.text import trim_ws
 # Codes that mean "the columns or rows may have been read in the wrong order".
 COLLAPSE_CODES = ["EQ_COPY", "EQ_NO_DIRECTION", "FAIL_GUARD", "COLUMN_SHIFT"]
 
-REASON_TEXT = {
-    "NO_SPEC": "limit is not a number",
-    "NO_RESULT": "result is not a number",
-    "BOUND_OK": "bound result satisfies the limit",
-    "BOUND_UNKNOWN": "bound result cannot be confirmed against the limit",
-    "BOUNDARY": "result equals a limit, the limit may be misread",
-    "EQ_COPY": "limit equals the result, the columns may be swapped",
-    "EQ_NO_DIRECTION": "limit is a bare number without direction",
-    "DECIMAL_RISK": "passes, but not if the decimal point was lost",
-    "OUTSIDE": "result outside the limit",
-    "OUTSIDE_DECIMAL_RISK": "result outside the limit, the decimal point may be lost",
-    "FAIL_GUARD": "limit and result are not on one line, rows may be mixed up",
-    "OUTLIER": "result is implausibly far from the limit",
-    "PASS_GUARD": "result may belong to another row",
-    "COLUMN_SHIFT": "a label column may have been read as the result",
-    "SIEVE_RECOVERED": "result read from the sieve table",
-    "BOUNDARY_VERIFIED": "result equals a limit, columns verified by geometry",
-    "": "",
-}
-
-
-def reason_text(code: Column) -> Column:
-    lookup = F.create_map(*[F.lit(x) for kv in REASON_TEXT.items() for x in kv])
-    return lookup[code]
-
 
 def contains(op: Column, lo: Column, hi: Column, limit: Column, v: Column) -> Column:
     return (
@@ -118,13 +92,3 @@ def evaluate(items: DataFrame) -> DataFrame:
         "name": F.coalesce(shown("name"), F.lit("(unknown)")), "unit": shown("unit"), "method": shown("method"),
         "spec_raw": F.coalesce(F.col("spec")["raw"], F.col("spec_raw")), "result": F.col("value"),
     }).drop("__name", "__unit", "__method", "spec", "res", "value", "spec_min", "spec_max")
-
-
-def with_reason(rows: DataFrame) -> DataFrame:
-    """Display text beside the code."""
-    shown = F.concat_ws(
-        " ", F.lit("result"), number_text(F.col("result")), F.lit("outside spec"), F.col("spec_raw")
-    )
-    return rows.withColumn(
-        "reason", F.when(F.col("reason_code") == "OUTSIDE", shown).otherwise(reason_text(F.col("reason_code")))
-    )

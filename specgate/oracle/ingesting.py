@@ -27,13 +27,18 @@ SQL = {
     "parse_extractions": f"""{I} SELECT {P}, item_seq AS part, CAST(NULL AS VARCHAR) AS product, CAST(doc_id AS VARCHAR) AS lot_no, CAST(1 AS BIGINT) AS item_seq,
         name, unit, method, spec_raw, spec_min, spec_max, result FROM items WHERE item_seq % 10 NOT IN (3, 4)""",
     "quarantine": f"{I} SELECT {P}, item_seq AS part, CASE WHEN item_seq % 10 IN (3, 4) THEN 'bad' ELSE 'good' END AS route FROM items",
+    "rejected_extractions": f"{I} SELECT {P}, item_seq AS part, CASE item_seq % 10 WHEN 3 THEN 'not json' ELSE 'no items' END AS reason FROM items WHERE item_seq % 10 IN (3, 4)",
+    "rejected_tokens": f"{I} SELECT {P}, item_seq, CASE item_seq % 5 WHEN 0 THEN 'not json' ELSE 'no tokens' END AS reason FROM items WHERE item_seq % 5 < 3",
+    "rejected_grids": f"{I}, {GR} SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'no table' WHEN 2 THEN 'no pages' ELSE 'not json' END AS reason FROM g WHERE doc_id % 5 < 4",
+    "missing_images": f"WITH {PG} SELECT {P}, 'page has no image' AS error FROM pg WHERE page = 4 AND doc_id % 7 = 0",
     "read_grids": f"""{I}, {GR} SELECT {P}, grid, source, 'normal' AS orient, n AS n_edges, 600.0::DOUBLE AS page_width, CASE WHEN doc_id % 5 = 0 THEN 90 ELSE 0 END AS page_rotation FROM g""",
     "write_reports_json": f"{EV} SELECT {P}, count(*) OVER (PARTITION BY {P}) AS n_total, item_seq, name, status FROM ev",
     "write_relational": f"{EV} SELECT sha256(doc_id || '|' || page) AS report_id, {P}, {CNT}, count(*) AS n_items FROM ev GROUP BY {P}",
     "public_view": f"WITH {PG} SELECT {P}, source, CASE WHEN page = 1 THEN 'tesseract' ELSE 'text-layer' END AS ocr_engine FROM pg",
     "usable_text": f"WITH {PG} SELECT {P}, {CH} >= 300 AS as_text_layer, {CH} >= 50 AS as_ocr FROM pg",
-    "select_page_text": f"""WITH {PG}, c AS (SELECT *, CASE WHEN doc_id % 3 = 0 AND {CH} >= 300 THEN 'text-layer' WHEN (doc_id + page) % 5 > 0 AND {CH} >= 50 THEN 'rapidocr' ELSE 'tesseract' END AS engine FROM pg)
-        SELECT {P}, engine, text, CASE WHEN engine = 'tesseract' THEN 'primary recognition missing or thin' END AS error FROM c""",
+    "select_page_text": f"""WITH {PG}, c AS (SELECT *, CASE WHEN doc_id % 3 = 0 AND {CH} >= 300 THEN 'text-layer' WHEN (doc_id + page) % 5 > 0 AND {CH} >= 50 THEN 'rapidocr' WHEN doc_id % 9 <> 4 THEN 'tesseract' END AS engine FROM pg)
+        SELECT {P}, engine, CASE WHEN engine IS NOT NULL THEN text END AS text,
+        CASE WHEN engine IS NULL THEN 'no readable text' WHEN engine = 'tesseract' THEN 'primary recognition missing or thin' END AS error FROM c""",
     "drop_blank_pages": f"""WITH {PG} SELECT {P}, text, false AS placeholder FROM pg WHERE trim(text) <> ''
         UNION ALL SELECT doc_id, 1, '', true FROM pg GROUP BY doc_id HAVING max(length(trim(text))) = 0""",
     "page_alignment": f"""WITH {PG}, r AS (SELECT doc_id, count(*) AS t, count(*) FILTER (NOT (page = 4 AND doc_id % 7 = 0)) AS n FROM pg GROUP BY 1)

@@ -30,7 +30,7 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     p = _pages(spark, sf).withColumn("engine", F.explode(F.array(*[F.lit(e) for e in ("text-layer", "rapidocr", "tesseract")])))
     gone = "(engine = 'text-layer' AND doc_id % 3 > 0) OR (engine = 'rapidocr' AND (doc_id + page) % 5 = 0)"
-    return p.withColumn("text", F.expr(f"CASE WHEN {gone} THEN '' ELSE text END"))
+    return p.where("engine <> 'tesseract' OR doc_id % 9 <> 4").withColumn("text", F.expr(f"CASE WHEN {gone} THEN '' ELSE text END"))
 
 
 def upload_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,10 +47,9 @@ def dedupe_by_content(spark: SparkSession, sf: str) -> DataFrame:
 def dedupe_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = fx.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    keyed = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.sha2(F.concat_ws("|", "event_type", "user_id", "props"), 256).alias("sha256"))
+    keyed = stream.select("event_id", F.sha2(F.concat_ws("|", "event_type", "user_id", "props"), 256).alias("sha256"))
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    I.run_available(I.dedupe_stream(keyed, "ts", "sha256", "3650 days"), f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out").select("sha256")
+    return I.ingest_available(keyed, f"{base}/out", f"{base}/state", "event_id").select("sha256")
 
 
 def tokens_from_json(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,6 +83,22 @@ def quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return good.select(*PAGE, "part", F.lit("good").alias("route")).unionByName(bad.select(*PAGE, "part", F.lit("bad").alias("route")))
 
 
+def rejected_extractions(spark: SparkSession, sf: str) -> DataFrame:
+    return S.rejected_extractions(_extraction_json(fx.items(spark, sf)))
+
+
+def rejected_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    t = fx.items(spark, sf).select(*PAGE, "item_seq", F.expr("""CASE item_seq % 5 WHEN 0 THEN '[' WHEN 1 THEN '[]'
+        WHEN 2 THEN '5' ELSE to_json(array(struct(name AS text, 1.0D AS x))) END""").alias("json"))
+    return S.rejected_tokens(t)
+
+
+def rejected_grids(spark: SparkSession, sf: str) -> DataFrame:
+    g = _grid_json(spark, sf).withColumn("json", F.expr("""CASE doc_id % 5 WHEN 0 THEN 'broken' WHEN 1 THEN '{"error": "no table"}'
+        WHEN 2 THEN '{"engine": "x"}' WHEN 3 THEN NULL ELSE json END"""))
+    return S.rejected_grids(g)
+
+
 def _grid_json(spark: SparkSession, sf: str) -> DataFrame:
     g = geometry(fx.tokens(spark, sf))
     page = F.struct(
@@ -147,6 +162,11 @@ def page_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return P.page_alignment(p, p.where("NOT (page = 4 AND doc_id % 7 = 0)"))
 
 
+def missing_images(spark: SparkSession, sf: str) -> DataFrame:
+    p = _pages(spark, sf)
+    return P.missing_images(p, p.where("NOT (page = 4 AND doc_id % 7 = 0)"))
+
+
 def first_text_page(spark: SparkSession, sf: str) -> DataFrame:
     return P.first_text_page(_pages(spark, sf))
 
@@ -164,6 +184,7 @@ def attach_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     upload_names, dedupe_by_content, dedupe_stream, tokens_from_json, lines_of, parse_extractions, quarantine, read_grids,
+    rejected_extractions, rejected_tokens, rejected_grids, missing_images,
     write_reports_json, write_relational, public_view, usable_text, select_page_text, drop_blank_pages, page_alignment,
     first_text_page, routing_summary, attach_grid,
 )}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from specgate import fixtures as fx
 from specgate.operators import reports as R
 from specgate.operators import verdict as V
+from specgate.session import materialize
 
 PAGE, ID = fx.PAGE, fx.ITEM
 
@@ -24,6 +25,11 @@ def _readings(spark: SparkSession, sf: str) -> DataFrame:
     return V.evaluate(fx.variants(spark, sf))
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """The readings judged once, for plans with several branches over them."""
+    return materialize(_readings(spark, sf))
+
+
 def summarize(spark: SparkSession, sf: str) -> DataFrame:
     return R.summarize(_rows(spark, sf), PAGE)
 
@@ -48,11 +54,11 @@ def _best(rows: DataFrame) -> DataFrame:
 
 
 def keep_best(spark: SparkSession, sf: str) -> DataFrame:
-    return _best(_readings(spark, sf)).select(*ID, "variant", "status", "spec_raw", "needs_review")
+    return _best(_judged(spark, sf)).select(*ID, "variant", "status", "spec_raw", "needs_review")
 
 
 def provenance_flags(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _readings(spark, sf)
+    rows = _judged(spark, sf)
     d = R.provenance_flags(_best(rows), rows.where(F.col("variant") == "flat"), PAGE, "grid", _ruled())
     return d.select(*ID, "variant", "status", "needs_review")
 
@@ -74,7 +80,7 @@ def reprocess_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keep_best_hq(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _readings(spark, sf)
+    rows = _judged(spark, sf)
     return R.keep_best_hq(rows, PAGE, "flat", "grid").select(*ID, "variant", "status")
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgate.functions.text import split_cells, split_lines
+from specgate.functions.text import WS, split_cells, split_lines
 
 SUFFIXES = ["pdf", "png", "jpg", "jpeg"]
+#: The suffixes in any mixture of cases, as a glob.
+ACCEPTED_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s) for s in SUFFIXES) + "}"
 TOKEN = "struct<text:string,score:double,x:double,y:double,y1:double,y2:double,x2:double>"
 ITEM = "struct<name:string,unit:string,method:string,specRaw:string,specMin:string,specMax:string,result:string>"
 EXTRACTION = f"struct<product:string,lotNo:string,items:array<{ITEM}>>"
@@ -24,13 +26,13 @@ def accepted_name(name: Column) -> Column:
 
 def clean_name(name: Column) -> Column:
     """File name without upload prefix, white space as underscores."""
-    return F.regexp_replace(F.regexp_replace(name, r"^\d+-", ""), r"\s+", "_")
+    return F.regexp_replace(F.regexp_replace(name, r"^\d+-", ""), rf"{WS}+", "_")
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
     """A1: accepted files with clean name and content hash; contents stay on the executors."""
-    d = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,png,jpg,jpeg,PDF,PNG,JPG,JPEG}").load(path)
-    name = F.element_at(F.split(F.url_decode(F.col("path")), "/"), -1)
+    d = spark.read.format("binaryFile").option("pathGlobFilter", ACCEPTED_GLOB).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
     return d.select("path", clean_name(name).alias("filename"), "modificationTime", "length", F.sha2("content", 256).alias("sha256"))
 
 
@@ -50,6 +52,34 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         F.element_at(F.split(F.input_file_name(), "/"), -1).alias("filename"), F.col("value").alias("json")))
 
 
+def _no_json(json: Column) -> Column:
+    return F.coalesce(F.get_json_object(json, "$"), F.lit("")) == ""
+
+
+def _rejected(df: DataFrame, reason: Column) -> DataFrame:
+    """Documents with a reason, without their content: they never stop the batch and never vanish."""
+    return df.select(*[c for c in df.columns if c != "json"], reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def rejected_tokens(df: DataFrame) -> DataFrame:
+    """A3, A10: documents that give no tokens, with the reason."""
+    tokens = F.from_json("json", f"array<{TOKEN}>")
+    return _rejected(df, F.when(_no_json(F.col("json")), "not json").when(tokens.isNull() | (F.size(tokens) == 0), "no tokens"))
+
+
+def rejected_extractions(df: DataFrame) -> DataFrame:
+    """A5, A10: documents that give no items, with the reason; each of them is an empty report."""
+    items = F.from_json("json", EXTRACTION)["items"]
+    return _rejected(df, F.when(_no_json(F.col("json")), "not json").when(items.isNull() | (F.size(items) == 0), "no items"))
+
+
+def rejected_grids(df: DataFrame) -> DataFrame:
+    """Documents that give no pages, with the reason or the error they report."""
+    g = F.from_json("json", GRIDS)
+    return _rejected(df, F.when(_no_json(F.col("json")), "not json").when(g["error"].isNotNull(), g["error"])
+                     .when(g["pages"].isNull() | (F.size(g["pages"]) == 0), "no pages"))
+
+
 def tokens_from_json(df: DataFrame) -> DataFrame:
     parsed = F.from_json("json", f"array<{TOKEN}>")
     return df.select(*[c for c in df.columns if c != "json"], F.posexplode(parsed).alias("token_seq", "t")).select(

@@ -5,24 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgate.sources.readers import clean_name
+from specgate.sources.readers import ACCEPTED_GLOB, clean_name, dedupe_by_content
+
+FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{pdf,png,jpg,jpeg,PDF,PNG,JPG,JPEG}").load(path)
-    name = F.element_at(F.split(F.url_decode(F.col("path")), "/"), -1)
+    """Accepted files as they arrive. The source would leave out files that are a week older than the newest one."""
+    reader = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", ACCEPTED_GLOB)
+    d = reader.option("maxFileAge", "36500d").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
     return d.select("path", clean_name(name).alias("filename"), "modificationTime", F.sha2("content", 256).alias("sha256"))
 
 
-def dedupe_stream(stream: DataFrame, time: str, digest: str, keep: str = "7 days") -> DataFrame:
-    """First arrival per content hash; the watermark bounds the state."""
-    return stream.withWatermark(time, keep).dropDuplicatesWithinWatermark([digest])
-
-
-def run_available(stream: DataFrame, target: str, state: str) -> None:
-    """Process everything that has arrived, then stop; restarts continue from `state`."""
-    query = (
-        stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", state)
-        .trigger(availableNow=True).outputMode("append").start()
-    )
-    query.awaitTermination()
+def ingest_available(stream: DataFrame, target: str, state: str, order: str, digest: str = "sha256") -> DataFrame:
+    """Process everything that has arrived, then stop; restarts continue from `state`. Returns the table at `target`.
+
+    The target is the ledger: a batch keeps the contents that no earlier batch has, one row each (first by `order`), and
+    writes them under its own number, so a batch that is run again after a failure replaces itself. No watermark: files
+    of any age are taken, and copies are known for ever.
+    """
+    spark, schema = stream.sparkSession, f"{digest} string"
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        batch = batch.persist()
+        spark_path = session._jvm.org.apache.hadoop.fs.Path(target)
+        if spark_path.getFileSystem(session._jsc.hadoopConfiguration()).exists(spark_path):
+            earlier = session.read.schema(f"{schema}, batch bigint").option("basePath", target).parquet(target).where(F.col("batch") < number)
+        else:
+            earlier = session.createDataFrame([], schema)
+        dedupe_by_content(batch, earlier, order, digest).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch.unpersist()
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).drop("batch")
