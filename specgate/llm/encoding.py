@@ -1,20 +1,36 @@
-"""Texts to token ids with the tokenizers library, at the speed of a dictionary for words seen before.
+"""Texts to token ids with the tokenizers library, a batch of texts at a time.
 
 Byte-level BPE never merges across the start of a word: its splitting pattern lets a single space, or a single line
-break, between other characters begin a new piece, whatever stands before it. So a text is cut there, each distinct
-piece is encoded once by the library, and ids of a text are the joined ids of its pieces. Texts that hold a run of white
-space or a special token's string are encoded by the library in one call.
+break, between other characters begin a new piece, whatever stands before it, and parts letters from a dot or comma
+behind them. So texts are cut there, in numpy over the bytes of the batch; each distinct piece is encoded once by the
+library, and the ids of a text are the joined ids of its pieces. Texts that hold a run of white space or a special
+token's string are encoded by the library in one call. Pieces are told apart by a 64-bit hash and their length.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import re
-from array import array
+from itertools import chain
 
-#: Stems kept per worker; beyond it the cache starts anew. It changes the speed only.
-CACHE_STEMS = 800_000
+import numpy as np
+import pyarrow as pa
+
+from specgate.llm.shingles import _BYTES, _powers, bytes_of, mix64
+
+#: Slots for pieces in a worker's table, and ids in its pool; a full pool starts anew. They change the speed only.
+SLOT_BITS, POOL_IDS = 22, 1 << 24
+
+#: Bytes of text that a worker encodes at once.
+BATCH_BYTES = 2 << 20
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.isin(np.arange(256), [ord("."), ord(",")])
+_CUT = np.isin(np.arange(256), [32, 10])
+#: White space, as one byte, or first bytes of longer white space (and of other characters).
+_MAY_BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
+_BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 
 
 class Encoder:
@@ -23,55 +39,101 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s[ \n]", *special])).search
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.marks = {m: self._ids([m])[0] for m in ("", "\n", ".", ",")}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _known(self, cache: dict[str, bytes], stems: set[str], space: str) -> None:
-        if new := [s for s in stems if s not in cache]:
-            if len(cache) > CACHE_STEMS:
-                cache.clear()
-                new = list(stems)
-            cache.update(zip(new, self._ids([space + s for s in new]), strict=True))
-
-    def _pieces(self, pieces: set[str], space: str) -> dict[str, bytes]:
-        """Ids of pieces that follow a space or nothing. A final dot or comma after letters is a piece of its own."""
-        parts, stems, lines = [], set(), set()
-        for p in pieces:
-            line = p[:1] == "\n"
-            stem, mark = (p[1:] if line else p), ""
-            if stem[-1:] in (".", ",") and stem[:-1].isalpha():
-                stem, mark = stem[:-1], stem[-1]
-            (lines if line else stems).add(stem)
-            parts.append((p, line, stem, mark))
-        cache = self.spaced if space else self.bare
-        self._known(cache, stems, space)
-        self._known(self.bare, lines if space else stems | lines, "")
-        bare, marks, feed = self.bare, self.marks, self.marks["\n"]
-        return {p: feed + bare[stem] + marks[mark] if line else cache[stem] + marks[mark] for p, line, stem, mark in parts}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if self.whole(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        pieces: set[str] = set()
-        for c in cut:
-            if c:
-                pieces.update(c)
-        first = self._pieces({c[0] for c in cut if c}, "")
-        later = self._pieces(pieces, " ").__getitem__
-        out = []
-        for text, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
-            else:
-                out.append(first[c[0]] + b"".join(map(later, c[1:])))
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.slots = np.zeros(1 << SLOT_BITS, "u8")
+        self.entry = np.zeros(1 << SLOT_BITS, "i4")
+        self._reset()
+
+    def _reset(self) -> None:
+        self.slots[:] = 0
+        self.starts, self.counts, self.n = np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i4"), 0
+        self.pool, self.used = np.zeros(1 << 20, "u4"), 0
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entries of pieces, -1 where unknown. A piece has two slots."""
+        out = np.full(len(hashes), -1, "i4")
+        rest = np.arange(len(hashes))
+        for shift in (64 - SLOT_BITS, 8):
+            slot = (hashes[rest] >> np.uint64(shift) & np.uint64((1 << SLOT_BITS) - 1)).astype("i8")
+            hit = self.slots[slot] == hashes[rest]
+            out[rest[hit]] = self.entry[slot[hit]]
+            rest = rest[~hit]
         return out
 
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), "i4", len(ids))
+        total, n = int(counts.sum()), self.n
+        while n + len(ids) > len(self.starts):
+            self.starts, self.counts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.counts))
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), "u4", total)
+        self.starts[n : n + len(ids)] = self.used + np.cumsum(counts) - counts
+        self.counts[n : n + len(ids)] = counts
+        self.used, self.n = self.used + total, n + len(ids)
+        entries = np.arange(n, self.n, dtype="i4")
+        first, second = ((hashes >> np.uint64(s) & np.uint64((1 << SLOT_BITS) - 1)).astype("i8") for s in (64 - SLOT_BITS, 8))
+        slot = np.where((self.slots[first] == 0) | (self.slots[second] != 0), first, second)
+        self.slots[slot], self.entry[slot] = hashes, entries
+        return entries
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, unsigned 32-bit, and the offset of each text's first one; null is empty."""
+        data, offsets = bytes_of(texts)
+        n, buffer = len(data), data.tobytes()
+        if self.used > POOL_IDS:
+            self._reset()
+        cut = _CUT[data]
+        last = np.zeros(n + 1, bool)
+        last[offsets] = True
+        begin = cut | last[:-1]
+        begin[1:] |= (data[:-1] == 10) & ~_MAY_BLANK[data[1:]]
+        behind = np.concatenate([cut[1:], [True]]) | last[1:] if n else cut
+        begin[1:] |= (_MARK[data] & behind)[1:] & _LETTER[data[:-1]]
+        at = np.flatnonzero(begin)
+        ends = np.append(at[1:], n)
+        power, inverse = _powers(1 << max(10, (n + 1).bit_length()))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * power[:n], dtype="u8")])
+        hashes = mix64((sums[ends] - sums[at]) * inverse[at] + (ends - at).astype("u8") * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+        entry = self._find(hashes)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            new, where, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            pieces = [buffer[a:b].decode() for a, b in zip(at[missing[where]].tolist(), ends[missing[where]].tolist(), strict=True)]
+            entry[missing] = self._learn(new, pieces)[back]
+        counts = self.counts[entry]
+        before = np.concatenate([[0], np.cumsum(counts, dtype="i8")])
+        total = int(before[-1])
+        ids = self.pool[np.repeat(self.starts[entry] - before[:-1], counts) + np.arange(total)]
+        bounds = before[np.searchsorted(at, offsets)]
+        odd = self._odd(data, buffer, offsets, np.flatnonzero(cut))
+        if not len(odd):
+            return ids, bounds
+        parts, sizes = [], np.diff(bounds)
+        done = 0
+        for k in odd:
+            own = np.array(self.tokenizer.encode(buffer[offsets[k] : offsets[k + 1]].decode(), add_special_tokens=False).ids, "u4")
+            parts += [ids[done : bounds[k]], own]
+            done, sizes[k] = bounds[k + 1], len(own)
+        return np.concatenate([*parts, ids[done:]]), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _odd(self, data: np.ndarray, buffer: bytes, offsets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Texts in which white space stands before a space or line break, or a special token's string stands anywhere."""
+        row = np.searchsorted(offsets, cuts, "right") - 1
+        room = cuts - offsets[row]
+        b1, b2, b3 = (np.where(room >= k, data[np.maximum(cuts - k, 0)], 0) for k in (1, 2, 3))
+        wide = (b3 == 0xE2) & (((b2 == 0x80) & ((b1 <= 0x8A) | np.isin(b1, (0xA8, 0xA9, 0xAF)))) | ((b2 == 0x81) & (b1 == 0x9F)))
+        wide |= (b3 == 0xE1) & (b2 == 0x9A) & (b1 == 0x80) | (b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80)
+        wide |= (b2 == 0xC2) & np.isin(b1, (0x85, 0xA0))
+        odd = set(row[(room >= 1) & (_BLANK[b1] | wide)].tolist())
+        for token in self.special:
+            place = buffer.find(token)
+            while place >= 0:
+                odd.add(int(np.searchsorted(offsets, place, "right") - 1))
+                place = buffer.find(token, place + 1)
+        return np.array(sorted(odd), "i8")
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:

@@ -21,12 +21,13 @@ import bisect
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgate.llm.common import Scratch, by_bytes, on_workers, running
-from specgate.llm.encoding import default_path, encoder
+from specgate.llm.encoding import BATCH_BYTES, default_path, encoder
 
 LENGTH = 1024
 END = 2
@@ -37,17 +38,17 @@ PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc3
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    row, end_bytes = TaskContext.get().partitionId() << 40, end.to_bytes(4, "little")
-    for batch in by_bytes(batches, "text"):
+    row, tail = TaskContext.get().partitionId() << 40, np.array([end], "u4")
+    for batch in by_bytes(batches, "text", BATCH_BYTES):
+        ids, offsets = encoder(path).encode(batch.column("text"))
         out: dict[str, list] = {name.split()[0]: [] for name in PIECES.split(", ")}
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(batch.column("text").to_pylist()), strict=True):
-            ids += end_bytes
-            n, start, piece = len(ids) // 4, 0, 0
-            while start < n:
-                length = (n - start) % most or most
-                crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-                for name, value in zip(out, (row, doc, piece, start, length, crc), strict=True):
-                    out[name].append(value)
+        for doc, low, high in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            own, start, piece = memoryview(np.concatenate([ids[low:high], tail]).tobytes()), 0, 0
+            while start < high - low + 1:
+                length = (high - low + 1 - start) % most or most
+                crc = zlib.crc32(own[4 * start : 4 * (start + length)])
+                for values, value in zip(out.values(), (row, doc, piece, start, length, crc), strict=True):
+                    values.append(value)
                 start, piece = start + length, piece + 1
             row += 1
         types = {"piece": pa.int32()}

@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgate.llm.common import Scratch, by_bytes, on_workers, running
-from specgate.llm.encoding import default_path, encoder
+from specgate.llm.encoding import BATCH_BYTES, default_path, encoder
 
 END = 0
 #: A file is closed at the first document that takes it to this many ids.
 FILE_IDS = 1 << 20
+#: Ids that a worker reads back at once.
+READ_IDS = 1 << 15
 WORD_BITS, BLOCK_BITS = 64, 4096
 
 FILES = "file_part long, file_seq long, n_ids long, payload binary, doc_ids array<long>, starts array<long>, lengths array<long>"
@@ -104,22 +106,23 @@ class Reader:
 def _files(batches: Iterator[pa.RecordBatch], path: str, end: int, file_ids: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, seq, end_bytes = TaskContext.get().partitionId(), 0, np.uint32(end).tobytes()
+    part, seq, tail = TaskContext.get().partitionId(), 0, np.array([end], "u4")
     docs, lengths, held, n_ids = [], [], [], 0
 
     def close() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(held), "<u4")
+        ids = np.concatenate(held)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype("i8")
         return pa.RecordBatch.from_pydict({
             "file_part": pa.array([part], pa.int64()), "file_seq": pa.array([seq], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()),
             "payload": pa.array([encode_ids(ids)], pa.binary()), "doc_ids": pa.array([docs], pa.list_(pa.int64())),
             "starts": pa.array([starts], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int64()))})
 
-    for batch in by_bytes(batches, "text"):
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(batch.column("text").to_pylist()), strict=True):
+    for batch in by_bytes(batches, "text", BATCH_BYTES):
+        ids, offsets = encoder(path).encode(batch.column("text"))
+        for doc, low, high in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             docs.append(doc)
-            held += [ids, end_bytes]
-            lengths.append(len(ids) // 4 + 1)
+            held += [ids[low:high], tail]
+            lengths.append(high - low + 1)
             n_ids += lengths[-1]
             if n_ids >= file_ids:
                 yield close()
@@ -138,10 +141,13 @@ def write_files(scratch: Scratch, docs: DataFrame, path: str | None = None, end:
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            reader, crcs = Reader(row["payload"]), []
-            for start, n in zip(row["starts"], row["lengths"], strict=True):
-                crcs.append(zlib.crc32(reader.get(np.arange(start, start + n)).tobytes()))
-            k = len(crcs)
+            reader, crcs, k = Reader(row["payload"]), [], len(row["starts"])
+            starts, ends = np.array(row["starts"]), np.array(row["starts"]) + np.array(row["lengths"])
+            while len(crcs) < k:  # some documents at once, for speed
+                first, low = len(crcs), starts[len(crcs)]
+                after = max(first + 1, int(np.searchsorted(ends, low + READ_IDS, "right")))
+                ids = memoryview(reader.get(np.arange(low, ends[after - 1])).tobytes())
+                crcs += [zlib.crc32(ids[4 * (a - low) : 4 * (b - low)]) for a, b in zip(starts[first:after], ends[first:after], strict=True)]
             yield pa.RecordBatch.from_pydict({
                 "file_part": pa.array([row["file_part"]] * k, pa.int64()), "file_seq": pa.array([row["file_seq"]] * k, pa.int64()),
                 "doc_id": pa.array(row["doc_ids"], pa.int64()), "place": pa.array(row["starts"], pa.int64()),
