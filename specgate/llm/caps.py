@@ -11,7 +11,7 @@ in 4 signs of 64 on average where 20 may, so missing one is very unlikely; tests
 label are one class, compared once and counted by its size, so copies make no pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label,
-link with nothing; vectors of different length do not link; repeated rows are vectors of one class; an empty table gives
+link with nothing; vectors of different length do not link; short vectors are decoded with zeros behind them; repeated rows are vectors of one class; an empty table gives
 an empty result. Only `vec_id`, `embedding`, `label` are read.
 """
 
@@ -32,6 +32,8 @@ CODE = 512
 FILTERS = 56.0
 SIGNS_APART = 20
 LEAST = 0.98
+#: Shorter vectors get zeros up to this length before the rotation.
+LEAST_DIM = 16
 #: Vectors that a worker decodes at once.
 ROWS = 512
 
@@ -51,22 +53,24 @@ def code(dim: int, size: int, filters: float) -> tuple[np.ndarray, list[np.ndarr
     probe = random.standard_normal((400, dim))
     probe /= np.linalg.norm(probe, axis=1, keepdims=True)
     low, high = (probe[:, : dim // 2] @ halves[0].T, probe[:, dim // 2 :] @ halves[1].T)
-    scores = np.concatenate([(a[:, None] + b[None, :]).ravel()[np.argpartition((a[:, None] + b[None, :]).ravel(), -4096)[-4096:]] for a, b in zip(low, high, strict=True)]) if size * size > 4096 else np.zeros(1)
-    keep = min(len(scores) - 1, int(filters * len(probe)))
-    return turn, halves, signs, float(-np.partition(-scores, keep)[keep])
+    top = min(size * size, 4096)
+    scores = np.concatenate([np.partition((a[:, None] + b[None, :]).ravel(), -top)[-top:] for a, b in zip(low, high, strict=True)])
+    keep = min(len(scores), int(filters * len(probe)))
+    return turn, halves, signs, float(np.partition(scores, -keep)[-keep])
 
 
 def decode(units: np.ndarray, size: int, filters: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) of every filter whose cap holds a row's vector."""
+    """(row, filter) of every filter whose cap holds a row's vector, its nearest filter in any case."""
     turn, halves, _, least = code(units.shape[1], size, filters)
     turned, d = units @ turn, units.shape[1] // 2
     low, high = turned[:, :d] @ halves[0].T, turned[:, d:] @ halves[1].T
     order = np.argsort(-high, axis=1)
     rows, found = [], []
     for r in range(len(units)):
-        first = np.flatnonzero(low[r] >= least - high[r, order[r, 0]])
+        own = min(least, low[r].max() + high[r, order[r, 0]])
+        first = np.flatnonzero(low[r] >= own - high[r, order[r, 0]])
         falling = -high[r, order[r]]
-        counts = np.searchsorted(falling, low[r, first] - least, "right")
+        counts = np.searchsorted(falling, low[r, first] - own, "right")
         n = int(counts.sum())
         place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
         found.append(np.repeat(first, counts) * size + order[r, place])
@@ -86,7 +90,8 @@ def _posts(batches: Iterator[pa.RecordBatch], size: int, filters: float) -> Iter
                 x = np.array([vectors[i] for i in at_dim], "f8")
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                signs = np.packbits(x @ code(int(dim), size, filters)[2] > 0, axis=1).view("i8")[:, 0]
+                x = np.pad(x, ((0, 0), (0, max(0, LEAST_DIM - int(dim)))))
+                signs = np.packbits(x @ code(x.shape[1], size, filters)[2] > 0, axis=1).view("i8")[:, 0]
                 row, found = decode(x, size, filters)
                 own = at_dim[row]
                 yield pa.RecordBatch.from_arrays([
