@@ -1,6 +1,6 @@
 """Toxicity by a learned lexicon, a Levenshtein automaton over its trie, and context windows.
 
-The lexicon (words, and beginnings of words) and the weights are learned from labelled rows only. The trie of the lexicon
+The lexicon (words, and beginnings of words, outside quotation marks) and the weights are learned from labelled rows only. The trie of the lexicon
 is intersected with the automaton of one edit; the product is determinised as words pass through it, so a word costs a
 few table steps until no entry is within reach, and misspelled terms are found without comparing word pairs. Hits are
 then read in their context: between quotation marks they count as quotation, outside as abuse, with the densest window
@@ -46,6 +46,8 @@ WORDS = re.compile(r"[^\W_]+")
 #: Pairs of quotation marks; those that open and close alike are counted by parity.
 PAIRED, ALIKE = (("“", "”"), ("«", "»"), ("„", "“")), ('"',)
 
+MARKS = frozenset("".join([*ALIKE, *(a + b for a, b in PAIRED)]))
+
 EXACT, START, EDITED = 1, 2, 3
 
 
@@ -174,7 +176,8 @@ def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in by_bytes(batches, "text"):
         words, toxic, half = [], [], []
         for text, t, h in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
-            own = set(WORDS.findall(text.lower()))
+            low = text.lower()
+            own = {m[0] for m in WORDS.finditer(low) if not quoted(low, m.start())} if MARKS.intersection(low) else set(WORDS.findall(low))
             words += own
             toxic += [t] * len(own)
             half += [h] * len(own)
@@ -265,5 +268,18 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, samp
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def _clean(batches: Iterator[pa.RecordBatch], lexicon: tuple, weights: list[float], threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in by_bytes(batches, "text"):
+        x = np.array([features(t or "", automaton(*lexicon)) for t in batch.column("text").to_pylist()]).reshape(-1, 6)
+        score = 1 / (1 + np.exp(-(x @ np.array(weights[1:]) + weights[0])))
+        yield batch.filter(pa.array(score < threshold))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of `docs` that score below the threshold."""
+    lexicon, weights = learn(Scratch(docs.sparkSession, "toxicity"), docs, labels, sample_rows)
+    return docs.mapInArrow(on_workers(_clean, lexicon, weights, threshold), docs.schema)
+
+
 def op9_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
