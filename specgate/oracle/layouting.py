@@ -53,6 +53,11 @@ SQL = {
         tx AS (SELECT {P}, row_no, col, y, token_seq, trim(CASE WHEN col = 0 THEN regexp_replace(text, '^\\d{{1,2}}\\s+', '') ELSE text END) AS t FROM pc),
         cc AS (SELECT {P}, row_no, col, string_agg(t, ' ' ORDER BY y, token_seq) AS c FROM tx WHERE t <> '' GROUP BY ALL)
         SELECT {P}, row_no, coalesce(max(c) FILTER (col = 0), '') || ' | ' || coalesce(max(c) FILTER (col = 1), '') || ' | ' || coalesce(max(c) FILTER (col = 2), '') AS line FROM cc GROUP BY ALL""",
+    "merge_kerned": f"""{TK}, {TEXT}, c AS (SELECT {P}, row_no, token_seq * 256 + k - 1 AS token_seq, substr(text, k, 1) AS text, 3 * x + 6 * (k - 1) AS x
+          FROM (SELECT *, CAST(unnest(range(1, length(text) + 1)) AS INT) AS k FROM tl)),
+        n AS (SELECT *, regexp_matches(text, '^[0-9.,%+ºu°μ-]$') AS num FROM c), s AS (SELECT *, CASE WHEN num AND lag(num) OVER w AND x - (lag(x) OVER w + 6) < 0.5 THEN 0 ELSE 1 END AS b FROM n
+          WINDOW w AS (PARTITION BY {P}, row_no ORDER BY x, token_seq)), r AS (SELECT *, sum(b) OVER (PARTITION BY {P}, row_no ORDER BY x, token_seq) AS run FROM s)
+        SELECT {P}, row_no, min(x) AS x, min(token_seq) AS token_seq, string_agg(text, '' ORDER BY x, token_seq) AS text, 6.0::DOUBLE * count(*) AS width FROM r GROUP BY {P}, row_no, run""",
     "header_direction_hints": f"""{TK}, n AS (SELECT {P}, token_seq // 3 AS i, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9μ.\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM tokens WHERE token_seq % 3 = 0),
         s AS (SELECT {P}, token_seq // 3 AS i, CAST(regexp_extract(text, '[0-9]+') AS DOUBLE) AS value FROM tokens WHERE token_seq % 3 = 1 AND regexp_matches(text, '[0-9]'))
         SELECT {P}, name, value, CASE i % 3 WHEN 0 THEN 'min' ELSE 'max' END AS direction FROM n JOIN s USING ({P}, i) WHERE i % 3 < 2 AND doc_id % 4 > 0""",

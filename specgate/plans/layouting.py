@@ -32,10 +32,10 @@ def cluster_rows_textlayer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merge_kerned(spark: SparkSession, sf: str) -> DataFrame:
-    """Results split into digits, as a kerned text layer prints them."""
-    t = fx.tokens(spark, sf).where("token_seq % 3 = 2").select(
+    """All texts split into characters, as a kerned text layer prints them."""
+    t = fx.tokens(spark, sf).select(
         *PAGE, F.col("token_seq").alias("seq"), "x", "y", F.posexplode(F.split("text", "")).alias("k", "text"))
-    t = t.where("text != ''").selectExpr("doc_id", "page", "seq * 16 + k AS token_seq", "text", "x + 6 * k AS x", "y", "6.0D AS width")
+    t = t.where("text != ''").selectExpr("doc_id", "page", "seq * 256 + k AS token_seq", "text", "3 * x + 6 * k AS x", "y", "6.0D AS width")
     return L.merge_kerned(L.cluster_rows_textlayer(t))
 
 
