@@ -143,5 +143,11 @@ def near_duplicates(
     return linked.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def without_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of `docs` but those of documents that a smaller doc_id of their component stands for."""
+    gone = near_duplicates(docs, **parameters).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+
+
 def op8_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
