@@ -219,19 +219,25 @@ def drop_ungrounded(items: DataFrame, lines: DataFrame, row_id: list[str], text:
     """(kept, dropped). An item must be traceable to its page by name, by a line that prints
     a result and a limit number, or by one column of a bar-separated block that prints both.
 
-    `text` (doc_id, page, text) finds long words that run over a line break; without it they
-    are searched inside each line. Items of pages without any line are kept.
+    Long words are searched in the text of the whole page without white space, so that one that
+    runs over a line break is found; `text` (doc_id, page, text) gives that text, else the lines
+    are joined, only for pages and words that no line prints as a word. Items of pages without
+    any line are kept.
     """
     words = lines.select(*PAGE, F.explode(F.regexp_extract_all(F.lower("line"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).distinct()
     names = items.select(*row_id, F.explode(F.array_distinct(T.name_tokens(F.col("name")))).alias("w"))
     by_word = names.join(words, [*PAGE, "w"], "left_semi").select(*row_id).distinct()
     rest = items.join(by_word, row_id, "left_anti")
-    body = lines.select(*PAGE, F.col("line").alias("text")) if text is None else text
-    long_words = F.filter(T.name_tokens(F.col("name")), lambda t: F.length(t) >= 5)
-    compact = body.select(*PAGE, F.lower(T.drop_ws(F.col("text"))).alias("body"))
-    in_body = rest.select(*row_id, long_words.alias("words")).where(F.size("words") > 0).join(
-        compact, PAGE
-    ).where(F.exists("words", lambda w: F.contains(F.col("body"), w))).select(*row_id).distinct()
+    long_words = F.array_distinct(F.filter(T.name_tokens(F.col("name")), lambda t: F.length(t) >= 5))
+    sought = rest.select(*row_id, F.explode(long_words).alias("w"))
+    wanted = sought.select(*PAGE, "w").distinct()
+    if text is None:
+        in_order = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+        text = lines.join(wanted.select(*PAGE).distinct(), PAGE, "left_semi").groupBy(*PAGE).agg(
+            F.array_join(F.transform(in_order, lambda s: s["line"]), "").alias("text"))
+    compact = text.select(*PAGE, F.lower(T.drop_ws(F.col("text"))).alias("body"))
+    printed = wanted.join(compact, PAGE).where(F.contains("body", "w")).select(*PAGE, "w")
+    in_body = sought.join(printed, [*PAGE, "w"], "left_semi").select(*row_id).distinct()
 
     rest = rest.join(in_body, row_id, "left_anti")
     printed_spec = F.concat_ws(" ", "spec_raw", "spec_min", "spec_max")

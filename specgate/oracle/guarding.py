@@ -87,12 +87,13 @@ SHIFT = f"""mv AS (SELECT doc_id, page, line_no, CASE WHEN len({SPLIT}) = 3 AND
       FROM rn r JOIN one o ON r.doc_id = o.doc_id AND r.page = o.page AND (abs(sn[1] - rv) < 1e-9 OR lower(replace(cs[1], ' ', '')) = lower(replace(raw, ' ', '')))),
   sh AS (SELECT DISTINCT {ID} FROM jn WHERE len(pos) > 0 AND len(list_filter(list_slice(sn, pos[1] + 1, len(sn)), lambda x: x IS NOT NULL AND (rv IS NULL OR abs(x - rv) >= 1e-9))) > 0)"""
 
-GROUND = f"""it AS (SELECT * EXCLUDE (name), CASE WHEN item_seq % 2 = 0 THEN 'Zq' || item_seq || ' vx' ELSE name END AS name FROM items),
+GROUND = f"""it AS (SELECT * EXCLUDE (name), CASE WHEN item_seq % 16 = 2 THEN 'Zqbreaker vx' WHEN item_seq % 2 = 0 THEN 'Zq' || item_seq || ' vx' ELSE name END AS name FROM items),
+  pt AS (SELECT doc_id, page, replace(lower(string_agg(line, '' ORDER BY line_no)), ' ', '') AS body FROM lines GROUP BY ALL),
   nt AS (SELECT *, list_filter(string_split(regexp_replace(lower(name), '[^a-z]+', ' ', 'g'), ' '), lambda t: length(t) >= 3) AS nw,
       list_filter(string_split(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: length(t) >= 2) AS ns,
       {toks('result')} AS rt, {toks("concat_ws(' ', spec_raw, spec_min, spec_max)")} AS st FROM it),
-  h1 AS (SELECT DISTINCT {ID} FROM nt JOIN ln USING (doc_id, page) WHERE len(list_filter(nw, lambda w: list_contains(regexp_extract_all(lower(line), '[a-z]{{3,}}'), w)
-      OR (length(w) >= 5 AND contains(replace(lower(line), ' ', ''), w)))) > 0),
+  h1 AS (SELECT DISTINCT {ID} FROM nt JOIN ln USING (doc_id, page) WHERE len(list_filter(nw, lambda w: list_contains(regexp_extract_all(lower(line), '[a-z]{{3,}}'), w))) > 0
+      UNION SELECT {ID} FROM nt JOIN pt USING (doc_id, page) WHERE len(list_filter(nw, lambda w: length(w) >= 5 AND contains(body, w))) > 0),
   h2 AS (SELECT DISTINCT {ID} FROM nt JOIN ln USING (doc_id, page) WHERE {count_matching('rt')} > 0 AND {count_matching('st')} > 0),
   bl AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS blk FROM lines WHERE len(string_split(line, '|')) >= 3),
   b2 AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page, blk) AS n FROM bl),
@@ -114,6 +115,7 @@ SQL = {
         {final(f"({ID}) IN (SELECT ({ID}) FROM g WHERE NOT ok)", 'FAIL_GUARD')}""",
     "guard_passes": f"{EV}, {LN}, {PASS} {final(f'({ID}) IN (SELECT ({ID}) FROM hit)', 'PASS_GUARD')}",
     "guard_column_shift": f"{EV}, {SHIFT} {final(f'({ID}) IN (SELECT ({ID}) FROM sh)', 'COLUMN_SHIFT')}",
-    "drop_ungrounded": f"""WITH {B.ITEMS}, {B.LINES}, {LN}, {GROUND}, hh AS (SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3)
+    "drop_ungrounded": f"""WITH {B.ITEMS}, {B.LINES.replace("lines AS (", "lines0 AS (")},
+        lines AS (SELECT doc_id, page, line_no, CASE line_no % 16 WHEN 2 THEN line || ' zqbre' WHEN 3 THEN 'aker ' || line ELSE line END AS line FROM lines0), {LN}, {GROUND}, hh AS (SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3)
         SELECT {ID}, ({ID}) IN (SELECT ({ID}) FROM hh) AS kept FROM items""",
 }

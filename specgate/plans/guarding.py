@@ -52,11 +52,14 @@ def guard_column_shift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def drop_ungrounded(spark: SparkSession, sf: str) -> DataFrame:
-    """Half of the items get an invented name, so that numbers and columns must ground them."""
-    items = fx.items(spark, sf).withColumn(
-        "name", F.when(F.col("item_seq") % 2 == 0, F.concat(F.lit("Zq"), F.col("item_seq"), F.lit(" vx"))).otherwise(F.col("name"))
-    )
-    items, lines = materialize(items), _lines(spark, sf)
+    """Half of the items get an invented name, so that numbers and columns must ground them, or a word over a line break."""
+    at = F.col("item_seq") % 16
+    items = fx.items(spark, sf).withColumn("name", F.when(at == 2, F.lit("Zqbreaker vx")).when(
+        F.col("item_seq") % 2 == 0, F.concat(F.lit("Zq"), F.col("item_seq"), F.lit(" vx"))).otherwise(F.col("name")))
+    seq = F.col("line_no") % 16
+    lines = fx.lines(spark, sf).withColumn("line", F.when(seq == 2, F.concat("line", F.lit(" zqbre"))).when(
+        seq == 3, F.concat(F.lit("aker "), "line")).otherwise(F.col("line")))
+    items, lines = materialize(items), materialize(lines)
     kept, dropped = G.drop_ungrounded(items, lines, ID)
     return kept.select(*ID, F.lit(True).alias("kept")).unionByName(dropped.select(*ID, F.lit(False).alias("kept")))
 
