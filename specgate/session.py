@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -39,6 +40,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured or sc.getCheckpointDir()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Intermediate tables go when the application ends; what it returned has been read or written elsewhere by then."""
+    if not _written:
+        atexit.register(_delete_written)
+    _written.append((spark, path))
+
+
+def _delete_written() -> None:
+    for spark, path in _written:
+        try:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # noqa: BLE001  the session has ended before; clearing is left to the cluster
+            return
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate result that several branches read to the shared folder.
 
@@ -47,4 +67,5 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/specgate-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
