@@ -239,7 +239,8 @@ def learn(scratch: Scratch, docs: DataFrame, labels: DataFrame, sample_rows: int
     known = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known.hint("shuffle_hash"), "doc_id")
-    sample = sample.dropDuplicates(["text"]).select("text", "toxic", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int").alias("half"))
+    sample = sample.groupBy("text").agg(F.min(F.struct("doc_id", "toxic")).alias("first")).select("text", "first.*")  # copies count once
+    sample = sample.select("text", "toxic", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int").alias("half"))
     sample = scratch.write(sample)
     sides = {f"{c}_{h}": (F.col("toxic") == t) & ((F.col("half") == h) if h != "all" else F.lit(True))
              for c, t in (("toxic", 1), ("clean", 0)) for h in (0, 1, "all")}
@@ -251,7 +252,9 @@ def learn(scratch: Scratch, docs: DataFrame, labels: DataFrame, sample_rows: int
     counts = scratch.write(sample.mapInArrow(on_workers(_sample_words), "word string, toxic int, half int").groupBy("word").agg(*ones))
     halves, lexicon = [_lexicon(counts, totals, h) for h in ("0", "1")], _lexicon(counts, totals, "all")
     rows = sample.mapInArrow(on_workers(_sample_features, halves), "toxic int, x array<double>").toPandas()  # at most sample_rows rows
-    weights = fit_logistic(np.array(rows["x"].tolist()).reshape(-1, 6), rows["toxic"].to_numpy(float))
+    x, y = np.array(rows["x"].tolist()).reshape(-1, 6), rows["toxic"].to_numpy(float)
+    order = np.lexsort([y, *x.T])  # sums in one order, so that reruns agree to the last bit
+    weights = fit_logistic(x[order], y[order])
     scratch.drop(sample, counts)
     return lexicon, weights.tolist()
 
