@@ -11,13 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specgate.session import checkpoint_dir
+from specgate.session import checkpoint_dir, delete_at_exit
 
+#: See join_counted.
+HOT_KEYS = 1000
 #: Words are maximal runs of characters other than space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of rows that reach a Python worker at once, so that many long texts need no more memory than short ones.
-ARROW_BYTES = 32 << 20
+ARROW_BYTES = 8 << 20
 
 
 class Scratch:
@@ -31,6 +33,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/specgate-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        delete_at_exit(spark, self.root)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -75,6 +78,17 @@ def running(
             .drop("_part", "_row", *names, *[f"_before_{k}" for k in sums]))
 
 
+def join_counted(rows: DataFrame, counts: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """`rows` joined with their key's row of `counts` (key, f: rows of that key).
+
+    Keys that hold more than one row in `HOT_KEYS` are that many at most, whatever the table: they are broadcast, and
+    their rows stay where they are instead of meeting in one task.
+    """
+    hot = F.broadcast(counts.filter(F.col("f") > n_rows // HOT_KEYS))
+    cold = counts.filter(F.col("f") <= n_rows // HOT_KEYS)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def on_workers(function: Callable, *args) -> Callable:
     """`function(batches, *args)` for mapInArrow; workers import it from its module, so its caches live as long as they do."""
     module, name, root = function.__module__, function.__qualname__, str(Path(__file__).resolve().parents[2])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specgate.llm.common import Scratch, by_bytes, on_workers
+from specgate.llm.common import Scratch, by_bytes, join_counted, on_workers
 from specgate.llm.shingles import mix64, words_of, _powers
 
 LEAST = 50
@@ -167,9 +167,9 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> Da
     copies = narrow.filter(F.col("n") >= least).join(first, "digest").filter("doc_id > source_doc_id")
 
     places = scratch.write(known.mapInArrow(on_workers(_places, key, least), PLACE))
-    shared = places.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1").select("key")
+    shared = places.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1")
     copied = copies.select("doc_id").distinct()
-    kept = places.join(shared, "key").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+    kept = join_counted(places, shared, "key", places.count()).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
     kept = scratch.write(kept.join(copied, "doc_id", "left_anti"))
 
     suffixes = known.join(kept.hint("shuffle_hash"), "doc_id").mapInArrow(on_workers(_contexts, key, least), SUFFIX)
@@ -196,7 +196,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text", BATCH_BYTES):
         _, starts, ends, first = words_of(batch.column("text"))
         out = []
-        for row, (text, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+        for row, (text, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)):
             if text is not None and spans:
                 raw, at, kept = text.encode(), 0, []
                 for span in sorted(spans, key=lambda s: s["start_word"]):
@@ -204,15 +204,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = ends[first[row] + span["start_word"] + span["n_words"] - 1]
                 text = b"".join([*kept, raw[at:]]).decode()
             out.append(text)
-        names = [n for n in batch.schema.names if n != "spans"]
+        names = [n for n in batch.schema.names if n != "_spans"]
         yield batch.select(names).set_column(names.index("text"), "text", pa.array(out, pa.string()))
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     """The rows and columns of `docs`; repeated passages are cut from the later documents, the earliest keeps its own."""
     spans = repeated_passages(docs, least, key).groupBy("doc_id").agg(
-        F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
-    return docs.join(spans.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "spans").mapInArrow(
+        F.collect_list(F.struct("start_word", "n_words")).alias("_spans"))
+    return docs.join(spans.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_spans").mapInArrow(
         on_workers(_cut), docs.schema)
 
 
