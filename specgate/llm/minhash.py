@@ -8,12 +8,14 @@ full sets.
 * A token that one class alone has matches nothing. Of the others, a class is posted under the rarest ones only: two
   classes with MATCHES tokens in common share one of their COORDINATES - MATCHES + 1 rarest (prefix filter; rarest by
   the count over all classes). Classes with fewer than MATCHES shared tokens are out.
-* Hot groups: first every class is compared with one leader, the class of most common tokens among those it shares a
-  posting with, which joins a large group of copies in linear work. Only pairs of different components are then joined;
-  the count of common tokens is part of the join condition, so that no other pair leaves the join.
+* Hot groups: in some rounds every class is compared with the nearest of the leaders of its postings (first those of most
+  common tokens, then any), which joins a large group of copies in linear work. Only pairs of different components are
+  then joined, under their first common token, and only if the shingles that each side shares with any candidate at all
+  could make a link and a sketch of `BITS` bits is near enough; these and the count of common tokens are part of the
+  join condition, so no other pair leaves it.
 
-A pair at the least similarity has 40 x 0.85 = 34 expected matches; fewer than 23 happen to one pair in a million, so
-links are complete but for that chance. All else is exact.
+Matches of a pair are binomial in its similarity; MATCHES is the largest number that a pair at the least similarity
+misses with a chance of `MISS` at most, so links are complete but for that chance. All else is exact.
 
 Defined cases: null, empty and white-space texts have an empty set, link with nothing and are kept; a text shorter than a
 shingle is one shingle; repeated rows are documents of one class; ties take the smallest doc_id; an empty table gives an
@@ -22,7 +24,10 @@ empty result. Only `doc_id` and `text` are read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +35,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specgate.llm.common import Scratch, by_bytes, on_workers
+from specgate.llm.common import Scratch, by_bytes, join_counted, on_workers
 from specgate.llm.components import components
 from specgate.llm.shingles import shingle_hashes, signature, words_of
 
 COORDINATES = 40
-MATCHES = 23
+#: Times that classes are compared with one leader of their postings before pairs are joined.
+ROUNDS = 2
+#: Chance that a pair at the least similarity has too few matches.
+MISS = 2e-6
+#: Coordinates of which one bit is kept, for the pairs that leaders leave.
+BITS = 1024
 #: Bytes of text that a worker turns into hashes at once.
 BATCH_BYTES = 1 << 20
 
 SKETCH = "doc_id long, n_shingles long, digest binary, tokens array<long>"
-SETS = "doc_id long, digest binary, hashes binary"
+SETS = "doc_id long, digest binary, hashes array<long>, bits array<long>"
+
+
+def least_matches(percent: int, coordinates: int, miss: float = MISS) -> int:
+    """The largest m such that a pair of that similarity has fewer than m matches with a chance of `miss` at most."""
+    p, below = percent / 100, 0.0
+    for m in range(coordinates + 1):
+        below += math.comb(coordinates, m) * p**m * (1 - p) ** (coordinates - m)
+        if below > miss:
+            return max(1, m)
+    return coordinates
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -63,18 +83,30 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int, coordinates: int) -> It
         ], names=["doc_id", "n_shingles", "digest", "tokens"])
 
 
+def _bits(shingles: np.ndarray) -> np.ndarray:
+    """The last bit of `BITS` coordinates; of two sets, a share of (1 + similarity) / 2 agrees."""
+    return np.packbits((signature(shingles, BITS) & np.uint32(1)).astype(bool)).view("i8")
+
+
+def most_unlike(percent: int, bits: int = BITS, deviations: float = 4.7) -> int:
+    """Bits in which a pair at the least similarity differs, with that many standard deviations to spare."""
+    apart = (1 - percent / 100) / 2
+    return math.ceil(bits * apart + deviations * math.sqrt(bits * apart * (1 - apart)))
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for ids, sets in _sets(batches, n):
         yield pa.RecordBatch.from_arrays([
             pa.array(ids, pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()),
-            pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "hashes"])
+            pa.array([s.view("i8") for s in sets], pa.list_(pa.int64())),
+            pa.array([_bits(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "digest", "hashes", "bits"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            p, q = (np.frombuffer(s.as_buffer(), "u8") for s in (x, y))
+            p, q = x.values.to_numpy(), y.values.to_numpy()
             common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
             keep.append(100 * common >= percent * (len(p) + len(q) - common))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -88,11 +120,11 @@ def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES
+    docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, miss: float = MISS
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`: sets of `shingle` words that have at least
     `percent` hundredths of their union in common are linked."""
-    scratch = Scratch(docs.sparkSession, "minhash")
+    scratch, matches = Scratch(docs.sparkSession, "minhash"), least_matches(percent, coordinates, miss)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sketches = scratch.write(texts.mapInArrow(on_workers(_sketches, shingle, coordinates), SKETCH))
     classes = sketches.filter("n_shingles > 0").groupBy("digest").agg(
@@ -101,7 +133,7 @@ def near_duplicates(
 
     posts = classes.select("class", "n", F.explode("tokens").alias("token"))
     common = posts.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
-    shared = posts.join(common, "token").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("common"))
+    shared = join_counted(posts, common, "token", classes.count() * coordinates).groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("common"))
     shared = shared.filter(F.size("common") >= matches).select(
         "class", "n", F.col("common.token").alias("tokens"), F.aggregate("common.f", F.lit(0).cast("long"), lambda s, f: s + f).alias("fame"),
         F.greatest(F.lit(0), F.size("common") - matches + 1).alias("prefix"))
@@ -111,33 +143,51 @@ def near_duplicates(
     wanted = owners.select(F.col("class").alias("doc_id"), F.col("digest").alias("own"))
     chosen = texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(on_workers(_full_sets, shingle), SETS)
     chosen = chosen.withColumnRenamed("doc_id", "class")
-    sets = scratch.write(chosen.join(owners.hint("shuffle_hash"), ["class", "digest"], "left_semi").select("class", "hashes"))
-
-    posted = scratch.write(shared.withColumn("token", F.explode(F.slice("tokens", F.lit(1), F.col("prefix")))))
-    sizes_fit = (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))
-    met = F.size(F.array_intersect("tokens", "theirs")) >= matches
-
-    leaders = posted.groupBy("token").agg(F.max_by("class", F.struct("fame", -F.col("class"))).alias("leader"))
-    followed = posted.select("class", "token").join(leaders, "token").filter("class != leader").select("class", "leader").distinct()
-    theirs = shared.select(F.col("class").alias("leader"), F.col("n").alias("m"), F.col("tokens").alias("theirs"), F.col("fame").alias("fame"))
-    near = followed.join(shared.select("class", "n", "tokens"), "class").join(theirs, "leader").filter(sizes_fit & met)
-    best = near.groupBy("class").agg(F.max_by("leader", F.struct("fame", -F.col("leader"))).alias("leader"))
-    stars = scratch.write(_confirm(sets, best.select(F.col("class").alias("a"), F.col("leader").alias("b")), percent))
-    joined = components(scratch, stars)
-
-    posted = posted.join(joined.select(F.col("v").alias("class"), "component"), "class", "left").withColumn(
-        "component", F.coalesce("component", "class")).select("token", "class", "n", "tokens", "component")
+    sets = scratch.write(chosen.join(owners.hint("shuffle_hash"), ["class", "digest"], "left_semi").select("class", "hashes", "bits"))
+    own = sets.select("class", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("class").alias("class"), F.count("*").alias("f"))
+    own = own.filter("f = 1").groupBy("class").agg(F.count("*").alias("own"))
+    shared = shared.join(own, "class", "left").withColumn("usable", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    shared = scratch.write(shared.filter(100 * F.col("usable") >= percent * F.col("n")))  # else no text is near enough
+
+    prefix = F.slice("tokens", F.lit(1), F.col("prefix"))
+    posted = scratch.write(shared.select("class", "fame", F.explode(prefix).alias("token")))
+    one = shared.select("class", "n", "usable", "tokens", "fame")
+    two = shared.select(F.col("class").alias("leader"), F.col("n").alias("m"), F.col("usable").alias("their_usable"), F.col("tokens").alias("theirs"))
+    fit = (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))
+    fit = fit & ((100 + percent) * F.least("usable", "their_usable") >= percent * (F.col("n") + F.col("m")))
+    common = F.size(F.array_intersect("tokens", "theirs"))
+
+    links, component = None, shared.select("class", F.col("class").alias("component"))
+    for number in range(ROUNDS):
+        members = posted.join(component, "class")
+        order = F.struct("fame", -F.col("class")) if number == 0 else F.xxhash64("class", "token", F.lit(number))
+        leaders = members.groupBy("token").agg(F.max_by(F.struct(F.col("class").alias("leader"), F.col("component").alias("theirs")), order).alias("l"))
+        followed = members.join(leaders, "token").filter("component != l.theirs").select("class", "l.leader").distinct()
+        near = followed.join(one, "class").join(two, "leader").filter(fit).withColumn("common", common).filter(F.col("common") >= matches)
+        best = near.groupBy("class").agg(F.max_by("leader", F.struct("common", -F.col("leader"))).alias("leader"))
+        found = _confirm(sets, best.select(F.col("class").alias("a"), F.col("leader").alias("b")), percent)
+        links = scratch.write(found if links is None else links.union(found))
+        joined = components(scratch, links).select(F.col("v").alias("class"), F.col("component").alias("now"))
+        component = shared.select("class").join(joined, "class", "left").select("class", F.coalesce("now", "class").alias("component"))
+
+    posted = posted.select("class", "token").join(component, "class")
     mixed = posted.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    posted = scratch.write(posted.join(mixed.filter("low != high").select("token"), "token", "left_semi"))
-    other = posted.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("theirs"), F.col("component").alias("c"))
-    apart = (F.col("class") < F.col("b")) & (F.col("component") != F.col("c"))
-    rest = posted.join(other.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & apart & sizes_fit & met)
-    rest = rest.select(F.col("class").alias("a"), "b").distinct()
-    links = scratch.write(stars.union(_confirm(sets, rest, percent)))
+    posted = posted.join(mixed.filter("low != high").select("token"), "token", "left_semi")
+    posted = posted.join(shared.select("class", "n", "usable", "tokens", prefix.alias("first")), "class")
+    posted = scratch.write(posted.join(sets.select("class", "bits"), "class"))
+    other = posted.select(F.col("token").alias("t"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("theirs"),
+                          F.col("first").alias("their_first"), F.col("component").alias("c"), F.col("usable").alias("their_usable"),
+                          F.col("bits").alias("their_bits"))
+    apart = (F.col("token") == F.col("t")) & (F.col("class") < F.col("b")) & (F.col("component") != F.col("c"))
+    once = F.get(F.array_intersect("first", "their_first"), F.lit(0)) == F.col("token")
+    unlike = functools.reduce(operator.add, [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("their_bits", F.lit(i)))) for i in range(BITS // 64)])
+    like = unlike <= most_unlike(percent)
+    rest = posted.join(other, apart & fit & like & once & (common >= matches)).select(F.col("class").alias("a"), "b")
+    links = scratch.write(links.union(_confirm(sets, rest, percent)))
     whole = components(scratch, links)
     named = classes.select("digest", "class").join(whole.withColumnRenamed("v", "class"), "class", "left").select(
         "digest", F.coalesce("component", "class").alias("component_id"))
-    scratch.drop(sets, posted, shared)
+    scratch.drop(sets, posted)
     linked = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     linked = linked.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return linked.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
