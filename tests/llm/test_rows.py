@@ -161,6 +161,15 @@ def test_audio(documents_of, edges, empty):
     assert audio.align(audio.sing(empty))[0].count() == 0
 
 
+def test_every_word_sounds(documents_of):
+    words = prose(94, 45).split(" ")
+    rows = [(300, " ".join(words), "en", "a"), (301, " ".join([*words[:40], "other", *words[41:]]), "en", "a"), (302, " ".join(words[:9]), "en", "a")]
+    members, found = audio.align(audio.sing(documents_of(rows)))
+    members = {r["rec_id"]: r for r in members.collect()}
+    assert members[301]["class_id"] == 301 and members[302]["n_frames"] == 1
+    assert [(r["a"], r["b"], r["offset"]) for r in found.collect()] == [(300, 301, 0)]
+
+
 def test_wav():
     x = (3000 * np.sin(np.arange(5000) / 7)).astype("i2")
     assert (audio.samples_of(audio.wav(x)) == x).all()
