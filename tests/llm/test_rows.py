@@ -170,6 +170,25 @@ def test_every_word_sounds(documents_of):
     assert [(r["a"], r["b"], r["offset"]) for r in found.collect()] == [(300, 301, 0)]
 
 
+def test_all_offsets(spark):
+    """The alignment of every pair against all offsets, tried one by one; recordings of several cuts, inserts and copies."""
+    base, r = prose(95, 240).split(" "), random.Random(5)
+    texts = [base, base[:60] + prose(96, 30).split(" ") + base[90:], base[100:140] + base[20:90] + base[160:]]
+    texts += [sum((base[k : k + 30] + prose(300 + k + n, r.randint(1, 4)).split(" ") for k in range(0, 240, 30)), []) for n in range(3)]
+    texts += [base[:50] + base[:50] + base[:50], prose(97, 200).split(" ")]
+    rows = [(100 * k, " ".join(t)) for k, t in enumerate(texts)]
+    recordings = audio.sing(spark.createDataFrame(rows, "doc_id long, text string"))
+    prints = {row["rec_id"]: np.frombuffer(row["prints"], "<u4") for row in audio.fingerprints(recordings).collect()}
+    expected = {}
+    for a, x in prints.items():
+        for b, y in prints.items():
+            tried = [(n, -e, -o) for o in range(-len(x), len(y)) for n, e in [audio.stretch(x, y, o)] if n >= audio.LEAST_FRAMES]
+            if a != b and tried:
+                expected[a, b] = max(tried)
+    got = {(row["a"], row["b"]): (row["aligned_frames"], -row["bit_error"], -row["offset"]) for row in audio.align(recordings)[1].collect()}
+    assert got == expected and len(got) >= 30
+
+
 def test_wav():
     x = (3000 * np.sin(np.arange(5000) / 7)).astype("i2")
     assert (audio.samples_of(audio.wav(x)) == x).all()
