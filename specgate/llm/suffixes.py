@@ -3,13 +3,13 @@
 A suffix is retained where the hash of its first `KEY` words is the least among `least - KEY + 1` neighbouring positions.
 The choice depends on the words alone, so every repeated passage of `least` words or more keeps the same suffix in all its
 copies, with at least `KEY` words of the passage behind it. Suffixes whose first words nobody else has are dropped; the
-others are sorted by what follows, neighbours in that order (and the earliest of each key) are compared, and a match is
-extended word by word to the right and to the left. A match of `least` words or more marks the later of the two places;
-longer passages are covered by the overlapping matches of all suffixes in them.
+others are sorted by key and place. Each stands for all windows of `least` words around its first words, so every window
+that two texts share is hashed at the same suffix of both, and all its places but the earliest are marked; longer passages
+are covered by the overlapping windows.
 
-Documents of equal text are compared once; the later ones are repeated as a whole. The sort is by ranges of (key, words
-that follow, place), so a passage that a third of all documents share is dealt over many tasks; the earliest suffix of
-each key in each range then stands for the others in a comparison across ranges.
+Documents of equal text are compared once; the later ones are repeated as a whole. The sort is by ranges of (key,
+place), so a passage that a third of all documents share is dealt over many tasks; the earliest windows of the first and
+last key of each range then are compared across ranges.
 
 Words are maximal runs of characters other than space and the controls from tab to carriage return, without regard to
 A-Z or a-z. Defined cases: null, empty and short texts (fewer than `least` words) repeat nothing; repeated rows of one id
@@ -35,7 +35,7 @@ BATCH_BYTES = 1 << 20
 
 PLACE = "key long, doc_id long, pos int"
 SUFFIX = "key long, doc_id long, pos int, after binary, before binary"
-MATCH = "doc_id long, start int, end int, source_doc_id long, edge struct<key:long,doc_id:long,pos:int,after:binary,before:binary>"
+MATCH = "doc_id long, start int, end int, source_doc_id long, window long"
 
 
 def _retained(words: np.ndarray, first: np.ndarray, key: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,67 +91,68 @@ def _contexts(batches: Iterator[pa.RecordBatch], key: int, least: int) -> Iterat
             pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], names=["key", "doc_id", "pos", "after", "before"])
 
 
-def _common(contexts: list[bytes], i: np.ndarray, j: np.ndarray, reach: int) -> np.ndarray:
-    """Length of the common beginning of contexts i and j, in words."""
-    width = 4 * reach
-    table = np.frombuffer(b"".join(c.ljust(width, b"\0") for c in contexts), ">u4").reshape(-1, reach)
-    sizes = np.array([len(c) // 4 for c in contexts])
-    same = (table[i] == table[j]) & (np.arange(reach) < np.minimum(sizes[i], sizes[j])[:, None])
-    return np.cumprod(same, axis=1, dtype="u1").sum(axis=1)
-
-
-def _matches(rows: pa.Table, pairs: tuple[np.ndarray, np.ndarray], key: int, least: int) -> list[pa.Array]:
-    i, j = pairs
-    docs, pos = rows.column("doc_id").to_numpy(), rows.column("pos").to_numpy()
+def _windows(rows: pa.RecordBatch, key: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every window of `least` words around each suffix's first words, by the number of its words before them, and
+    which of these windows the text has."""
     reach = least - key
-    right = _common(rows.column("after").to_pylist(), i, j, reach)
-    left = _common(rows.column("before").to_pylist(), i, j, reach)
-    later = np.where((docs[i] > docs[j]) | ((docs[i] == docs[j]) & (pos[i] > pos[j])), i, j)
-    earlier = i + j - later
-    ok = (left.astype(int) + right + key >= least) & ((docs[i] != docs[j]) | (pos[i] != pos[j]))
-    at, source = later[ok], docs[earlier[ok]]
-    return [pa.array(docs[at]), pa.array((pos[at] - left[ok]).astype("i4")), pa.array((pos[at] + key + right[ok]).astype("i4")), pa.array(source)]
-
-
-def _compare(batches: Iterator[pa.RecordBatch], key: int, least: int, edges: bool) -> Iterator[pa.RecordBatch]:
-    """Compares sorted suffixes with their neighbour and with the earliest of their key. With `edges`, the earliest
-    suffixes of the partition's first and last key come along, for the comparison across partitions."""
-    fields = ["key", "doc_id", "pos", "after", "before"]
-    edge_type = pa.struct([("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("after", pa.binary()), ("before", pa.binary())])
-    names = ["doc_id", "start", "end", "source_doc_id", "edge"]
-    held, first, last = None, None, None  # last: key, earliest and last suffix so far of the key that goes on
-
-    def row(table: pa.Table, k: int) -> dict:
-        return {f: table.column(f)[k].as_py() for f in fields}
+    sums, sizes = [], []
+    for side in ("before", "after"):
+        raw = rows.column(side).to_pylist()
+        table = np.frombuffer(b"".join(c.ljust(4 * reach, b"\0") for c in raw), ">u4").reshape(len(raw), reach).astype("u8")
+        power = _powers(1 << 10 if reach < 1 << 10 else 1 << reach.bit_length())[0][:reach]
+        sums.append(np.concatenate([np.zeros((len(raw), 1), "u8"), np.cumsum(mix64(table) * power, axis=1, dtype="u8")], axis=1))
+        sizes.append(np.array([len(c) // 4 for c in raw])[:, None])
+    before = np.arange(reach + 1)
+    keys = mix64(rows.column("key").to_numpy().view("u8"))[:, None] + before.astype("u8")
+    return mix64(mix64(mix64(keys) + sums[0]) + sums[1][:, ::-1]), (before <= sizes[0]) & (reach - before <= sizes[1])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], key: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Marks every window that stands earlier too, of suffixes sorted by key and place. The earliest windows of the
+    partition's first and last key come along with their hash, for the comparison across partitions."""
+    names = ["doc_id", "start", "end", "source_doc_id", "window"]
+    held = [np.zeros(0, t) for t in ("u8", "i8", "i8", "i8")]  # earliest windows of the key that goes on: hash, doc_id, pos, words before
+    first_key = last_key = None
+    first_open = True
+
+    def edge(hashes: np.ndarray, docs: np.ndarray, pos: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
+        start = (pos - before).astype("i4")
+        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(start), pa.array(start + np.int32(least)), pa.nulls(len(docs), pa.int64()),
+                                           pa.array(hashes.view("i8"))], names=names)
 
     for batch in batches:
-        table = pa.Table.from_batches([batch.select(fields)]).combine_chunks()
-        if not len(table):
+        if not len(batch):
             continue
-        carried = 0
-        if last is not None and last["earliest"]["key"] == table.column("key")[0].as_py():
-            ahead = pa.Table.from_pylist([last["earliest"], last["neighbour"]], schema=table.schema)
-            table, carried = pa.concat_tables([ahead, table]).combine_chunks(), 2
-        keys, docs, pos = (table.column(f).to_numpy() for f in fields[:3])
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
-        order = np.lexsort((pos, docs, group))
-        earliest = order[starts][group]
-        k = np.arange(len(table))
-        after_first = np.flatnonzero(np.concatenate([[False], keys[1:] == keys[:-1]]))
-        stars = k[earliest != k]
-        i = np.concatenate([after_first, stars])
-        j = np.concatenate([after_first - 1, earliest[stars]])
-        found = _matches(table, (i, j), key, least)
-        yield pa.RecordBatch.from_arrays([*found, pa.nulls(len(found[0]), edge_type)], names=names)
-        if first is None or (carried and first["key"] == keys[0] and len(starts) >= 1):
-            first = row(table, int(earliest[0]))
-        last = {"earliest": row(table, int(earliest[-1])), "neighbour": row(table, len(table) - 1)}
-    if edges and last is not None:
-        ends = [first] if first["key"] == last["earliest"]["key"] else [first, last["earliest"]]
-        ends = [last["earliest"]] if len(ends) == 1 else ends
-        empty = [pa.nulls(len(ends), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*empty, pa.array(ends, edge_type)], names=names)
+        keys, docs, pos = (batch.column(f).to_numpy() for f in ("key", "doc_id", "pos"))
+        if last_key is not None and last_key != keys[0]:
+            if first_open:
+                yield edge(*held)
+                first_open = False
+            held = [h[:0] for h in held]
+        first_key = keys[0] if first_key is None else first_key
+        hashes, there = _windows(batch, key, least)
+        row, before = np.nonzero(there)
+        every = [np.concatenate(x) for x in zip(held, (hashes[row, before], docs[row], pos[row].astype("i8"), before), strict=True)]
+        _, earliest, which = np.unique(every[0], return_index=True, return_inverse=True)
+        source, at = (x[earliest[which]][len(held[0]) :] for x in every[1:3])
+        later = (source != docs[row]) | (at != pos[row])
+        row_of, before_of = row[later], before[later]
+        marked = np.unique(row_of)
+        most, fewest, least_source = np.zeros(len(batch), "i8"), np.full(len(batch), least), np.full(len(batch), np.iinfo("i8").max)
+        np.maximum.at(most, row_of, before_of)
+        np.minimum.at(fewest, row_of, before_of)
+        np.minimum.at(least_source, row_of, source[later])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(docs[marked]), pa.array((pos[marked] - most[marked]).astype("i4")), pa.array((pos[marked] + least - fewest[marked]).astype("i4")),
+            pa.array(least_source[marked]), pa.nulls(len(marked), pa.int64())], names=names)
+        kept = np.sort(earliest)
+        of = np.concatenate([np.full(len(held[0]), keys[0]), keys[row]])[kept]
+        if first_open and keys[-1] != first_key:
+            yield edge(*(x[kept[of == first_key]] for x in every))
+            first_open = False
+        held, last_key = [x[kept[of == keys[-1]]] for x in every], keys[-1]
+    if last_key is not None:
+        yield edge(*held)
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
@@ -175,12 +176,12 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> Da
     suffixes = known.join(kept.hint("shuffle_hash"), "doc_id").mapInArrow(on_workers(_contexts, key, least), SUFFIX)
     suffixes = scratch.write(suffixes)
     scratch.drop(places, kept)
-    ordered = suffixes.repartitionByRange("key", "after", "doc_id", "pos").sortWithinPartitions("key", "after", "doc_id", "pos")
-    found = scratch.write(ordered.mapInArrow(on_workers(_compare, key, least, True), MATCH))
-    edges = found.filter("edge IS NOT NULL").select("edge.*")
-    edges = edges.repartition("key").sortWithinPartitions("key", "after", "doc_id", "pos")
-    across = edges.mapInArrow(on_workers(_compare, key, least, False), MATCH)
-    spans = found.filter("edge IS NULL").unionByName(across).select("doc_id", "start", "end", "source_doc_id")
+    ordered = suffixes.repartitionByRange("key", "doc_id", "pos").sortWithinPartitions("key", "doc_id", "pos")
+    found = scratch.write(ordered.mapInArrow(on_workers(_compare, key, least), MATCH))
+    place = F.struct("doc_id", "start")
+    across = found.filter("window IS NOT NULL").withColumn("earliest", F.min(place).over(Window.partitionBy("window"))).filter(place > F.col("earliest"))
+    across = across.select("doc_id", "start", "end", F.col("earliest.doc_id").alias("source_doc_id"))
+    spans = found.filter("window IS NULL").select("doc_id", "start", "end", "source_doc_id").unionByName(across)
     spans = spans.unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"), "source_doc_id"))
 
     so_far = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

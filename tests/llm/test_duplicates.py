@@ -126,6 +126,19 @@ def test_repeated_passages(spark, documents_of, parts):
     assert sum(map(len, got.values())) >= 0.99 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_interleaved_leads(spark, documents_of, parts):
+    """A shared line after one of two leads, unique words after it: by what follows, copies with one lead are no neighbours."""
+    line, leads = prose(800, 35), [prose(801, 20), prose(802, 20)]
+    rows = [(k, f"{prose(900 + k, 20)} {leads[k % 2]} {line} {prose(1200 + k, 40)}", "en", "a") for k in range(120)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["doc_id"]: set(range(r["start_word"], r["start_word"] + r["n_words"])) for r in suffixes.repeated_passages(documents_of(rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert got == covered(rows, suffixes.LEAST) and set(got) == set(range(2, 120))
+
+
 def test_repeats_edges(edges, empty):
     got = {(r["doc_id"], r["start_word"], r["n_words"], r["source_doc_id"]) for r in suffixes.repeated_passages(edges).collect()}
     assert got == {(6, 0, 120, 5), (7, 0, 120, 5), (9, 40, 60, 8)}
