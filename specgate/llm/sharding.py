@@ -1,7 +1,9 @@
 """Sharding by balanced label propagation over links between documents of equal text.
 
-Documents of equal text are linked. They start evenly over the shards; in each round a document may move to the shard
-that holds most of its neighbours, if that shard has room under its quota, and the moves with most neighbours go first.
+Documents of equal text are linked. They start text by text, the largest first, end to end over the shards in proportion
+to the quotas, so at most one text is cut between two shards; in each round a document may move to the shard that holds
+most of its neighbours, if that shard has room under its quota, and the moves with most neighbours go first, until no move
+is left.
 Unlinked documents have no preferred shard: they fill what the quotas leave open. The law is `rows`: the quotas add up
 to the number of documents and differ by one at most, so the final counts do too.
 
@@ -22,19 +24,17 @@ from pyspark.sql import functions as F
 from specgate.llm.common import Scratch, running
 
 SHARDS = 24
-#: Rounds end earlier when nothing moves. Every round fills at least one shard for each group that is larger than one.
-ROUNDS = 16
 #: Rows of one text that meet one copy of its table of shards.
 SALT_ROWS = 4096
 
 
-def _propagate(scratch: Scratch, state: DataFrame, quotas: list[int], rounds: int) -> tuple[DataFrame, list[int]]:
-    """state: (key, shard, cnt). Returns the state after the last round and the linked documents per shard."""
+def _propagate(scratch: Scratch, state: DataFrame, quotas: list[int]) -> tuple[DataFrame, list[int]]:
+    """state: (key, shard, cnt). Returns the state when no move is left, and the linked documents per shard.
+
+    Every move gathers documents of a text where more of them are, so the rounds end."""
     while True:
         loads = dict(state.groupBy("shard").agg(F.sum("cnt")).collect())  # one row per shard
         loads = [loads.get(s, 0) for s in range(len(quotas))]
-        if not rounds:
-            return state, loads
         rooms = F.array(*[F.lit(q - n).cast("long") for q, n in zip(quotas, loads, strict=True)])
         room = F.element_at(rooms, F.col("shard") + 1)
         pull = F.struct("cnt", F.xxhash64("key", "shard").alias("tie"), "shard")
@@ -54,10 +54,10 @@ def _propagate(scratch: Scratch, state: DataFrame, quotas: list[int], rounds: in
         moved = state.select("key", "shard", "cnt").unionByName(changes)
         after = scratch.write(moved.groupBy("key", "shard").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0"))
         scratch.drop(state, accepted)
-        state, rounds = after, rounds - 1
+        state = after
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of `docs`."""
     scratch = Scratch(docs.sparkSession, "shards")
     text = F.coalesce("text", F.lit(""))
@@ -69,11 +69,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     n = ranked.count()
     quotas = [n // shards + (s < n % shards) for s in range(shards)]
     groups = ranked.filter(linked & (F.col("rank") == 0)).select("key", F.col("rank_total").alias("n"))
-    begun = running(scratch, groups, ["key"], {"first": "n"})
-    lap = F.pmod(F.col("shard") - F.col("first"), F.lit(shards))
+    n_linked = groups.agg(F.sum("n")).first()[0] or 0
+    ends = [n_linked * sum(quotas[:s]) // max(n, 1) for s in range(shards + 1)]  # no shard gets more than its quota
+    bounds = F.array(*[F.lit(e).cast("long") for e in ends])
+    begun = running(scratch, groups, [-F.col("n"), F.col("key")], {"first": "n"})
     begun = begun.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(
-        "key", "shard", F.greatest(F.floor((F.col("n") - lap + shards - 1) / shards), F.lit(0)).alias("cnt"))
-    state, loads = _propagate(scratch, scratch.write(begun.filter("cnt > 0")), quotas, rounds)
+        "key", "shard", (F.least(F.col("first") + F.col("n"), F.element_at(bounds, F.col("shard") + 2))
+                         - F.greatest("first", F.element_at(bounds, F.col("shard") + 1))).alias("cnt"))
+    state, loads = _propagate(scratch, scratch.write(begun.filter("cnt > 0")), quotas)
 
     upto = F.sum("cnt").over(Window.partitionBy("key").orderBy("shard"))
     places = state.withColumn("upto", upto).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("places"))

@@ -43,6 +43,18 @@ def test_shards(documents_of, edges, empty):
     assert whole >= 0.95 * 300
 
 
+def test_shards_without_unlinked_rows(documents_of):
+    """With all rows linked no shard has room left; a text is cut only where two shards meet."""
+    pairs = [(k, f"pair {k // 2}", "en", "a") for k in range(2400)]
+    for rows, most in ((pairs, 0), ([*pairs, *((3000 + k, f"triple {k // 3}", "en", "a") for k in range(150))], sharding.SHARDS - 1)):
+        got = {r["doc_id"]: r["shard"] for r in sharding.assign(documents_of(rows)).collect()}
+        counts, shards_of = Counter(got.values()), defaultdict(set)
+        for k, text, *_ in rows:
+            shards_of[text].add(got[k])
+        assert len(got) == len(rows) and len(counts) == sharding.SHARDS and max(counts.values()) - min(counts.values()) <= 1
+        assert sum(len(s) > 1 for s in shards_of.values()) <= most
+
+
 def test_targets():
     """Water levels: shares by weight, nobody above twice its size, the excess with the others."""
     sizes = {"a": 100, "b": 1000, "c": 10, "d": 300, None: 50}
