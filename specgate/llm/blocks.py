@@ -41,9 +41,10 @@ EPOCHS, RATE, BATCH = 14, 0.01, 32
 BATCH_BYTES = 2 << 20
 
 #: Fixed values of HTML: elements whose text is not shown, elements without end, and elements that begin a new block.
-HIDDEN_TAGS = "script style noscript template head title textarea select svg math iframe object canvas audio video"
+HIDDEN_TAGS = "script style noscript template title textarea select svg math iframe object canvas audio video"
 VOID_TAGS = "area base br col embed hr img input link meta param source track wbr"
 INLINE_TAGS = "a abbr b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr"
+HEAD_TAGS = frozenset("head title meta link base style script noscript template".split())
 _HIDDEN, _VOID, _INLINE = (frozenset(x.split()) for x in (HIDDEN_TAGS, VOID_TAGS, INLINE_TAGS))
 
 #: Names of elements, and words of class and id, that leave no doubt.
@@ -53,7 +54,7 @@ OUTSIDE_WORDS = ("ad ads advert advertisement banner sponsor sponsored promo coo
                  "comment comments respond reply replies discussion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
                  "header masthead related share social widget pagination").split()
 INSIDE_WORDS = "article content story post entry body text main".split()
-_OUTSIDE_WORDS = frozenset(OUTSIDE_WORDS)
+_OUTSIDE_WORDS, _INSIDE_WORDS = frozenset(OUTSIDE_WORDS), frozenset(INSIDE_WORDS)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -94,6 +95,10 @@ def blocks_of(page: str | None) -> list[Block]:
     while m := _TOKEN.match(page, at):
         at = m.end()
         ending, tag, attributes, text = m.groups()
+        if stack and (tag and not ending and tag.lower() not in HEAD_TAGS or text and not text.isspace()) and any(t == "head" for t, _ in stack):
+            close()
+            del stack[next(k for k, (t, _) in enumerate(stack) if t == "head") :]  # left open by the author
+            links = sum(t == "a" for t, _ in stack)
         if text is not None:
             parts.append(text)
             if links:
@@ -147,17 +152,28 @@ def blocks_of(page: str | None) -> list[Block]:
     return out
 
 
-def sure_label(path: tuple[str, ...]) -> int:
-    """1: article, 0: not, -1: the tags do not say."""
+def sure_label(path: tuple[str, ...], by_words: bool = False) -> int:
+    """1: article, 0: not, -1: the tags do not say. With `by_words`, the class and id of a container say it too."""
     inside = False
     for name in path:
         tag, *words = name.split(" ")
         if tag in OUTSIDE_TAGS and not (tag == "header" and inside) or _OUTSIDE_WORDS.intersection(words):
             return 0
-        inside = inside or tag in INSIDE_TAGS
+        inside = inside or tag in INSIDE_TAGS or by_words and tag != "body" and bool(_INSIDE_WORDS.intersection(words))
     return 1 if inside else -1
 
 
+def labels_of(pages: list[list[Block]]) -> list[list[int]]:
+    """Labels of the blocks of all sample pages: by tags; if no page has an article by those, by words of class and id too;
+    if none has one then, unlinked sentences outside all other containers count as article."""
+    for by_words in (False, True):
+        labels = [[sure_label(b.path, by_words) for b in blocks] for blocks in pages]
+        if any(1 in page for page in labels):
+            return labels
+    return [[1 if y < 0 and not b.linked and b.text[-1] in ".!?…" else y for b, y in zip(blocks, page, strict=True)]
+            for blocks, page in zip(pages, labels, strict=True)]
+
+
 @functools.lru_cache(maxsize=1 << 16)
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     out = np.zeros(PATH, "f4")
@@ -339,9 +355,10 @@ def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, np.nd
     sample = pages.filter("html IS NOT NULL").select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
     parsed = sample.mapInArrow(on_workers(_sample_blocks), "page_id long, paths array<array<string>>, texts array<string>, linked array<int>")
     sequences, labels = [], []
-    for row in parsed.orderBy("page_id").collect():  # at most sample_pages rows of SAMPLE_BLOCKS blocks
-        blocks = [Block(tuple(p), t, n) for p, t, n in zip(row["paths"], row["texts"], row["linked"], strict=True)]
-        for own, y in variants(blocks, [sure_label(b.path) for b in blocks], VARIANTS, zlib.crc32(str(row["page_id"]).encode())):
+    rows = parsed.orderBy("page_id").collect()  # at most sample_pages rows of SAMPLE_BLOCKS blocks
+    read = [[Block(tuple(p), t, n) for p, t, n in zip(row["paths"], row["texts"], row["linked"], strict=True)] for row in rows]
+    for row, blocks, known in zip(rows, read, labels_of(read), strict=True):
+        for own, y in variants(blocks, known, VARIANTS, zlib.crc32(str(row["page_id"]).encode())):
             if own and max(y) >= 0:
                 sequences.append(vectors_of([own]))
                 labels.append(np.array(y))

@@ -229,6 +229,21 @@ def test_pages(spark):
     assert blocks.main_text(frame.limit(0)).count() == 0
 
 
+def test_open_head():
+    page = PAGE.format("a b")
+    texts = lambda html: [b.text for b in blocks.blocks_of(html)]
+    assert texts(page.replace("</head>", "")) == texts(page.replace("</head><body>", "")) == texts(page) and "menu a b" in texts(page)
+    assert all("head" not in b.path for b in blocks.blocks_of(page.replace("</head>", "")))
+
+
+@pytest.mark.parametrize("holder", ["div class='post'", "div"])
+def test_pages_without_article_tags(spark, holder):
+    rows = [(k, "u", PAGE.format(prose(k, 12)).replace("<article>", f"<{holder}>").replace("</article>", "</div>")) for k in range(40)]
+    for r in blocks.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        w = prose(r["page_id"], 12)
+        assert f"Second paragraph <{w}>." in r["text"] and "menu" not in r["text"] and "Buy" not in r["text"]
+
+
 def test_other_layouts():
     """Containers that the sample pages do not have, from the variants."""
     pages = [blocks.blocks_of(PAGE.format(prose(k, 12))) for k in range(80)]
