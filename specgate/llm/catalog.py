@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specgate.llm import audio, blocks, caps, infill, minhash, mixing, packing, pieces, sharding, suffixes, token_files, toxicity
+from specgate.llm import audio, blocks, caps, infill, minhash, mixing, packing, pieces, sharding, suffixes, token_files, toxicity, variants
 
 QUERIES = {
     "op1_spherical_caps": caps.op1_spherical_caps,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_levenshtein": toxicity.op9_levenshtein,
     "op10_systematic_mix": mixing.op10_systematic_mix,
     "op11_piece_backtracking": pieces.op11_piece_backtracking,
+    "op12_asymmetric_chunks": variants.op12_asymmetric_chunks,
     "op13_skip_list_infill": infill.op13_skip_list_infill,
 }
-ORACLES = {"op10_systematic_mix": mixing.SQL, "op13_skip_list_infill": infill.SQL}
+ORACLES = {"op10_systematic_mix": mixing.SQL, "op12_asymmetric_chunks": variants.SQL, "op13_skip_list_infill": infill.SQL}
