@@ -84,4 +84,4 @@ def test_words(spark, edges, empty):
 def test_removed_letters(documents_of):
     rows = [(k, "Straße ÀÉÎ× aZ9Word word's " * 2 + "x", "en", "a") for k in range(300)] + [(None, "Straße zz", "en", "a")]
     assert {r["word"]: r["n"] for r in variants.counted_words(documents_of(rows)).collect()} == words_of(rows)
-    assert {"straß", "strae", "traße"} & set(words_of(rows))
+    assert set(words_of(rows)) > {"straße"}
