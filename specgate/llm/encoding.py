@@ -4,7 +4,8 @@ Byte-level BPE never merges across the start of a word: its splitting pattern le
 break, between other characters begin a new piece, whatever stands before it, and parts letters from a dot or comma
 behind them. So texts are cut there, in numpy over the bytes of the batch; each distinct piece is encoded once by the
 library, and the ids of a text are the joined ids of its pieces. Texts that hold a run of white space or a special
-token's string are encoded by the library in one call. Pieces are told apart by a 64-bit hash and their length.
+token's string are encoded by the library in one call. A piece of up to 16 bytes is found in a table by these bytes and
+its length, which are compared whole; longer ones are found in a dictionary of their bytes. So no piece is taken for another.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from specgate.llm.shingles import _BYTES, _powers, bytes_of, mix64
+from specgate.llm.shingles import SHORT, bytes_of, first_bytes, mix64
 
-#: Slots for pieces in a worker's table, and ids in its pool; a full pool starts anew. They change the speed only.
-SLOT_BITS, POOL_IDS = 22, 1 << 24
+#: Slots for pieces in a worker's table, pieces and ids that it holds; a full one starts anew. They change the speed only.
+SLOT_BITS, PIECES, POOL_IDS = 22, 1 << 20, 1 << 23
 
 #: Bytes of text that a worker encodes at once.
 BATCH_BYTES = 2 << 20
@@ -40,49 +41,78 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.slots = np.zeros(1 << SLOT_BITS, "u8")
-        self.entry = np.zeros(1 << SLOT_BITS, "i4")
+        self.slots = np.zeros(1 << SLOT_BITS, "i4")
         self._reset()
 
     def _reset(self) -> None:
-        self.slots[:] = 0
+        self.slots[:] = -1
         self.starts, self.counts, self.n = np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i4"), 0
+        self.keys = np.zeros((3, 1 << 16), "u8")  # first and second eight bytes, length; of long pieces no such length
         self.pool, self.used = np.zeros(1 << 20, "u4"), 0
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """Entries of pieces, -1 where unknown. A piece has two slots."""
-        out = np.full(len(hashes), -1, "i4")
-        rest = np.arange(len(hashes))
-        for shift in (64 - SLOT_BITS, 8):
-            slot = (hashes[rest] >> np.uint64(shift) & np.uint64((1 << SLOT_BITS) - 1)).astype("i8")
-            hit = self.slots[slot] == hashes[rest]
-            out[rest[hit]] = self.entry[slot[hit]]
+        self.long: dict[bytes, int] = {}
+
+    def _slots(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """The two slots of each piece."""
+        hashes = mix64(low ^ mix64(high + size * np.uint64(0xD6E8FEB86659FD93)))
+        return [(hashes >> np.uint64(shift) & np.uint64((1 << SLOT_BITS) - 1)).astype("i8") for shift in (64 - SLOT_BITS, 8)]
+
+    def _find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Entries of short pieces, -1 where unknown."""
+        out = np.full(len(low), -1, "i4")
+        rest = np.arange(len(low))
+        for slot in self._slots(low, high, size):
+            entry = self.slots[slot[rest]]
+            hit = (entry >= 0) & (self.keys[0, entry] == low[rest]) & (self.keys[1, entry] == high[rest]) & (self.keys[2, entry] == size[rest])
+            out[rest[hit]] = entry[hit]
             rest = rest[~hit]
         return out
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
+    def _learn(self, texts: list[str]) -> np.ndarray:
+        """New entries with the ids of these pieces."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), "i4", len(ids))
         total, n = int(counts.sum()), self.n
         while n + len(ids) > len(self.starts):
             self.starts, self.counts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.counts))
+            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)], axis=1)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), "u4", total)
         self.starts[n : n + len(ids)] = self.used + np.cumsum(counts) - counts
         self.counts[n : n + len(ids)] = counts
         self.used, self.n = self.used + total, n + len(ids)
-        entries = np.arange(n, self.n, dtype="i4")
-        first, second = ((hashes >> np.uint64(s) & np.uint64((1 << SLOT_BITS) - 1)).astype("i8") for s in (64 - SLOT_BITS, 8))
-        slot = np.where((self.slots[first] == 0) | (self.slots[second] != 0), first, second)
-        self.slots[slot], self.entry[slot] = hashes, entries
-        return entries
+        return np.arange(n, self.n, dtype="i4")
+
+    def _short(self, buffer: bytes, data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Entries of pieces of up to 16 bytes."""
+        size = (ends - at).astype("u8")
+        low, high = first_bytes(data, at, ends)
+        entry = self._find(low, high, size)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            order = missing[np.lexsort((size[missing], high[missing], low[missing]))]
+            new = np.concatenate([[True], np.diff(low[order]).astype(bool) | np.diff(high[order]).astype(bool) | np.diff(size[order]).astype(bool)])
+            own = order[new]
+            added = self._learn([buffer[a:b].decode() for a, b in zip(at[own].tolist(), ends[own].tolist(), strict=True)])
+            self.keys[:, added] = low[own], high[own], size[own]
+            first, second = self._slots(low[own], high[own], size[own])
+            self.slots[np.where((self.slots[first] < 0) | (self.slots[second] >= 0), first, second)] = added
+            entry[order] = added[np.cumsum(new) - 1]
+        return entry
+
+    def _long(self, buffer: bytes, at: np.ndarray, ends: np.ndarray) -> list[int]:
+        """Entries of longer pieces."""
+        pieces = [buffer[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+        new = list({p for p in pieces if p not in self.long})
+        if new:
+            self.long.update(zip(new, self._learn([p.decode() for p in new]).tolist(), strict=True))
+        return [self.long[p] for p in pieces]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, unsigned 32-bit, and the offset of each text's first one; null is empty."""
         data, offsets = bytes_of(texts)
         n, buffer = len(data), data.tobytes()
-        if self.used > POOL_IDS:
+        if self.used > POOL_IDS or self.n > PIECES:
             self._reset()
         cut = _CUT[data]
         last = np.zeros(n + 1, bool)
@@ -93,15 +123,11 @@ class Encoder:
         begin[1:] |= (_MARK[data] & behind)[1:] & _LETTER[data[:-1]]
         at = np.flatnonzero(begin)
         ends = np.append(at[1:], n)
-        power, inverse = _powers(1 << max(10, (n + 1).bit_length()))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * power[:n], dtype="u8")])
-        hashes = mix64((sums[ends] - sums[at]) * inverse[at] + (ends - at).astype("u8") * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-        entry = self._find(hashes)
-        missing = np.flatnonzero(entry < 0)
-        if len(missing):
-            new, where, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            pieces = [buffer[a:b].decode() for a, b in zip(at[missing[where]].tolist(), ends[missing[where]].tolist(), strict=True)]
-            entry[missing] = self._learn(new, pieces)[back]
+        long = np.flatnonzero(ends - at > SHORT)
+        short = np.flatnonzero(ends - at <= SHORT)
+        entry = np.empty(len(at), "i4")
+        entry[short] = self._short(buffer, data, at[short], ends[short])
+        entry[long] = self._long(buffer, at[long], ends[long])
         counts = self.counts[entry]
         before = np.concatenate([[0], np.cumsum(counts, dtype="i8")])
         total = int(before[-1])

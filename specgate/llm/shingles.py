@@ -1,18 +1,22 @@
 """Hashes of words, of word shingles, and MinHash signatures, for whole Arrow batches at once.
 
 Words are maximal runs of characters other than space and the controls from tab to carriage return, with A-Z lower-cased.
+The hash of a word of up to 16 bytes mixes all these bytes; of a longer word it is a cryptographic digest of 64 bits, so no
+pattern in texts makes words collide. A null or empty text has no words.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTES = np.random.default_rng(7).integers(0, 1 << 64, 256, "u8")
+#: Bytes that are read as two numbers.
+SHORT = 16
 _LOWER = np.arange(256, dtype="u1")
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -39,6 +43,18 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def first_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes of each stretch of `data` as two numbers; where a stretch ends before, zeros follow."""
+    held = np.concatenate([data, np.zeros(16, "u1")])
+    at = np.ndarray(len(data) + 9, "<u8", held, 0, (1,))
+    out = []
+    for skip in (0, 8):
+        left = np.clip(ends - starts - skip, 0, 8)
+        mask = np.where(left == 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.minimum(left, 7) * 8).astype("u8")) - np.uint64(1))
+        out.append(at[np.minimum(starts + skip, len(data))] & mask)
+    return out[0], out[1]
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end byte (in the text) of every word, and per text the index of its first word, with the end."""
     data, offsets = bytes_of(texts)
@@ -50,10 +66,14 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     starts = np.flatnonzero(solid & (after | edge[:-1]))
     before = np.concatenate([~solid[1:], [True]]) if len(data) else np.zeros(0, bool)
     ends = np.flatnonzero(solid & (before | edge[1:])) + 1
-    size = 1 << max(10, (len(data) + 1).bit_length())
-    power, inverse = _powers(size)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[low] * power[: len(data)], dtype="u8")])
-    hashes = mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype("u8") * np.uint64(0xD6E8FEB86659FD93))
+    size = (ends - starts).astype("u8")
+    one, two = first_bytes(low, starts, ends)
+    hashes = mix64(mix64(one + np.uint64(0x9E3779B97F4A7C15)) ^ mix64(two * np.uint64(0x9FB21C651E98DF25) + size))
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        buffer = memoryview(low.tobytes())
+        digests = b"".join(hashlib.blake2b(buffer[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        hashes[long] = np.frombuffer(digests, "<u8")
     first = np.searchsorted(starts, offsets)
     base = np.repeat(offsets[:-1], np.diff(first))
     return hashes, starts - base, ends - base, first
