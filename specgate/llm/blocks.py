@@ -1,17 +1,18 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page is read as the sequence of its text blocks. Each block is a vector: its hashed tag path (open tags with their class
-and id words), its hashed words, and a few measures of it. A bidirectional LSTM in numpy reads the whole sequence and
-labels every block, so a block's label rests on its own vector and on all the page. The text of the blocks labelled as
-article, in page order, is the result.
+A page is read as the sequence of its text blocks. Each block is a vector: its hashed tag path (all open tags with their
+class and id words, outer ones with falling weight), its hashed words, and a few measures of it. Every part is bounded, so a
+block of any length looks like one of usual length. A bidirectional LSTM in numpy reads the whole sequence and labels every
+block, so a block's label rests on its own vector and on all the page. The text of the blocks labelled as article, in page
+order, is the result.
 
 The model is fitted on the driver on at most `SAMPLE_PAGES` pages, those with the least hash of page_id, by labels that
 the pages' own tags give without doubt (navigation, footers, asides, forms, named adverts, notices and comments against
 articles). To learn more layouts than a crawl's few hosts have, each sample page is also read in variants in which its
-own blocks stand under other usual containers. Every page is labelled, whole.
+own blocks stand under other usual containers, deeper, joined to long ones, or alone. Every page is labelled, whole.
 
 Defined cases: null and empty html, and pages without an article, give empty text and n_chars 0; markup that never closes
-runs to the end of its parent; white space inside a block, line breaks by <br> too, becomes one space; repeated rows are
+runs to the end of its parent; elements with the attribute hidden or the style display:none are left out; white space inside a block, line breaks by <br> too, becomes one space; repeated rows are
 labelled alike; an empty table gives an empty result (and needs no model). Only `page_id`, `url`, `html` are read.
 """
 
@@ -21,6 +22,7 @@ import functools
 import html as html_lib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +34,14 @@ from specgate.llm.common import by_bytes, on_workers
 from specgate.llm.shingles import words_of
 
 SAMPLE_PAGES = 300
-#: Bytes of one sample page that the model is fitted on; longer pages give their first blocks to the fit, not to the result.
-SAMPLE_BLOCKS = 80
+#: Blocks of one sample page that the model is fitted on: of a longer page a stretch of so many, at a place drawn by its
+#: page_id. Bounds the driver's sample; the blocks themselves are read whole.
+SAMPLE_BLOCKS = 120
 VARIANTS = 5
 PATH, WORDS, MEASURES, HIDDEN = 96, 24, 5, 20
-DEPTH = 8
+#: Weight of a tag against the one inside it. Plain div levels say nothing and leave the path as it is.
+FALL = 0.8
+PLAIN = "div"
 EPOCHS, RATE, BATCH = 14, 0.01, 32
 BATCH_BYTES = 2 << 20
 
@@ -47,6 +52,7 @@ INLINE_TAGS = "a abbr b bdi bdo big br cite code del dfn em font i img ins kbd l
 HEAD_TAGS = frozenset("head title meta link base style script noscript template".split())
 _HIDDEN, _VOID, _INLINE = (frozenset(x.split()) for x in (HIDDEN_TAGS, VOID_TAGS, INLINE_TAGS))
 
+SENTENCE_ENDS = ".!?…"
 #: Names of elements, and words of class and id, that leave no doubt.
 OUTSIDE_TAGS = frozenset("nav footer aside form header button menu dialog".split())
 INSIDE_TAGS = frozenset("article main".split())
@@ -59,13 +65,36 @@ _OUTSIDE_WORDS, _INSIDE_WORDS = frozenset(OUTSIDE_WORDS), frozenset(INSIDE_WORDS
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_NOT_SHOWN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)""", re.I)
+_NO_DISPLAY = re.compile(r"""\bstyle\s*=\s*(?:"[^"]*?\bdisplay\s*:\s*none|'[^']*?\bdisplay\s*:\s*none|display:none)""", re.I)
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    """A text block; `path` are its open tags where they are asked for, `vector` the hashed path."""
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int) -> None:
-        self.path, self.text, self.linked = path, text, linked
+    __slots__ = ("path", "vector", "text", "linked")
+
+    def __init__(self, path: tuple[str, ...], vector: np.ndarray, text: str, linked: int) -> None:
+        self.path, self.vector, self.text, self.linked = path, vector, text, linked
+
+
+class Measured:
+    """A sample block without its text: path, counts of hashed words, words, characters, linked ones, whether it ends a sentence."""
+
+    __slots__ = ("path", "counts", "n", "length", "linked", "ends")
+
+    def __init__(self, path: tuple[str, ...], counts: np.ndarray, n: int, length: int, linked: int, ends: bool) -> None:
+        self.path, self.counts, self.n, self.length, self.linked, self.ends = path, counts, n, length, linked, ends
+
+    def at(self, path: tuple[str, ...], linked: int) -> Measured:
+        return Measured(path, self.counts, self.n, self.length, linked, self.ends)
+
+
+def joined(blocks: list[Measured], times: int) -> Measured:
+    """One long block of these blocks, so many times over."""
+    return Measured(blocks[0].path, times * sum(b.counts for b in blocks), times * sum(b.n for b in blocks),
+                    times * sum(b.length + 1 for b in blocks) - 1, times * sum(b.linked for b in blocks), blocks[-1].ends)
 
 
 @functools.lru_cache(maxsize=4096)
@@ -75,47 +104,85 @@ def _name(tag: str, attributes: str) -> str:
     return " ".join([tag, *words])
 
 
-def blocks_of(page: str | None) -> list[Block]:
+@functools.lru_cache(maxsize=1 << 14)
+def _name_vector(name: str) -> np.ndarray:
+    out = np.zeros(PATH, "f4")
+    for word in name.split(" "):
+        for h in (zlib.crc32(word.encode()), zlib.crc32(b"2" + word.encode())):
+            out[h % PATH] += 1 if h >> 31 else -1
+    return out
+
+
+def path_vector(path: tuple[str, ...]) -> np.ndarray:
+    out = np.zeros(PATH, "f4")
+    for name in path:
+        out = _inside(out, name)
+    return out
+
+
+def _inside(outer: np.ndarray, name: str) -> np.ndarray:
+    return outer if name == PLAIN else FALL * outer + _name_vector(name)
+
+
+def not_shown(attributes: str) -> bool:
+    """Whether an element's attributes hide it."""
+    return "hidden" in attributes.lower() and bool(_NOT_SHOWN.search(_QUOTED.sub('""', attributes))) or bool(_NO_DISPLAY.search(attributes))
+
+
+def blocks_of(page: str | None, paths: bool = False) -> list[Block]:
     """The shown text blocks of a page in order, character references decoded and white space made single."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, tag with names
+    nothing = np.zeros(PATH, "f4")
+    stack: list[tuple[str, str, np.ndarray, bool]] = []  # tag, tag with names, vector of the path, hidden
+    opened: Counter[str] = Counter()  # open tags; under "" the hidden ones
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(n for t, n in stack if t not in _INLINE), text, linked))
+                out.append(Block(tuple(e[1] for e in stack if e[0] not in _INLINE) if paths else (), stack[-1][2] if stack else nothing, text, linked))
             parts.clear()
         linked = 0
 
+    def push(tag: str, name: str | None, attributes: str) -> None:
+        vector = stack[-1][2] if stack else nothing
+        hidden = not_shown(attributes)
+        stack.append((tag, name or tag, vector if name is None else _inside(vector, name), hidden))
+        opened[tag] += 1
+        opened[""] += hidden
+
+    def pop() -> str:
+        tag, _, _, hidden = stack.pop()
+        opened[tag] -= 1
+        opened[""] -= hidden
+        return tag
+
     page, at = page or "", 0
     while m := _TOKEN.match(page, at):
         at = m.end()
         ending, tag, attributes, text = m.groups()
-        if stack and (tag and not ending and tag.lower() not in HEAD_TAGS or text and not text.isspace()) and any(t == "head" for t, _ in stack):
+        if stack and (tag and not ending and tag.lower() not in HEAD_TAGS or text and not text.isspace()) and opened["head"]:
             close()
-            del stack[next(k for k, (t, _) in enumerate(stack) if t == "head") :]  # left open by the author
-            links = sum(t == "a" for t, _ in stack)
+            while opened["head"]:  # left open by the author
+                pop()
         if text is not None:
-            parts.append(text)
-            if links:
-                linked += len(text)
+            if not opened[""]:
+                parts.append(text)
+                if opened["a"]:
+                    linked += len(text)
         elif tag is None:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and not opened[""]:
                 parts.append(html_lib.escape(m[0][9:-3]))
         elif ending:
             tag = tag.lower()
             if tag not in _INLINE:
                 close()
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    gone = stack.pop()[0]
-                    links -= gone == "a"
-                    if gone == tag:
-                        break
+            if opened[tag]:
+                while pop() != tag:
+                    pass
             if tag in ("p", "br"):
                 parts.append(" ")
         else:
@@ -131,23 +198,21 @@ def blocks_of(page: str | None) -> list[Block]:
                 if tag in ("br", "img", "wbr"):
                     parts.append(" " if tag == "br" else "")
                 elif not attributes.endswith("/"):
-                    stack.append((tag, tag))
-                    links += tag == "a"
+                    push(tag, None, attributes)
                 continue
             close()
             if tag in _VOID or attributes.endswith("/"):
                 continue
             for owner, until in (("p", None), ("li", "ul ol menu"), ("td", "table tr"), ("tr", "table")):  # left open by the author
-                if owner == "p" or owner == tag:
+                if opened[owner] and (owner == "p" or owner == tag):
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] == owner:
-                            for t, _ in stack[k:]:
-                                links -= t == "a"
-                            del stack[k:]
+                            while len(stack) > k:
+                                pop()
                             break
                         if stack[k][0] not in _INLINE and (until is None or stack[k][0] in until.split()):
                             break
-            stack.append((tag, _name(tag, attributes)))
+            push(tag, _name(tag, attributes), attributes)
     close()
     return out
 
@@ -163,27 +228,32 @@ def sure_label(path: tuple[str, ...], by_words: bool = False) -> int:
     return 1 if inside else -1
 
 
-def labels_of(pages: list[list[Block]]) -> list[list[int]]:
+def labels_of(pages: list[list[Measured]]) -> list[list[int]]:
     """Labels of the blocks of all sample pages: by tags; if no page has an article by those, by words of class and id too;
     if none has one then, unlinked sentences outside all other containers count as article."""
     for by_words in (False, True):
         labels = [[sure_label(b.path, by_words) for b in blocks] for blocks in pages]
         if any(1 in page for page in labels):
             return labels
-    return [[1 if y < 0 and not b.linked and b.text[-1] in ".!?…" else y for b, y in zip(blocks, page, strict=True)]
+    return [[1 if y < 0 and not b.linked and b.ends else y for b, y in zip(blocks, page, strict=True)]
             for blocks, page in zip(pages, labels, strict=True)]
 
 
-@functools.lru_cache(maxsize=1 << 16)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH, "f4")
-    for name in path[-DEPTH:]:
-        for word in name.split(" "):
-            h = zlib.crc32(word.encode())
-            out[h % PATH] += 1 if h >> 31 else -1
-            h = zlib.crc32(b"2" + word.encode())
-            out[h % PATH] += 1 if h >> 31 else -1
-    return out
+def counts_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of hashed words and of words of each text."""
+    words, _, _, first = words_of(pa.array(texts, pa.string()))
+    n = np.diff(first)
+    bag = np.bincount(np.repeat(np.arange(len(texts)), n) * WORDS + (words % np.uint64(WORDS)).astype("i8"), minlength=len(texts) * WORDS)
+    return bag.reshape(-1, WORDS), n
+
+
+def _vectors(paths: list[np.ndarray], bag: np.ndarray, n, length, linked, ends, sizes: list[int]) -> np.ndarray:
+    """One vector for each block of pages of so many blocks."""
+    length, n = np.asarray(length, "f8"), np.asarray(n, "f8")
+    place = np.concatenate([np.arange(k) / max(1, k - 1) for k in sizes])
+    shape = bag / np.maximum(np.sqrt((bag.astype("f8") ** 2).sum(axis=1)), 1)[:, None]
+    measures = np.column_stack([np.tanh(length / 200), np.tanh(n / 15), np.asarray(linked) / np.maximum(length, 1), place, ends])
+    return np.concatenate([np.stack(paths), shape, measures], axis=1).astype("f4")
 
 
 def vectors_of(pages: list[list[Block]]) -> np.ndarray:
@@ -191,16 +261,19 @@ def vectors_of(pages: list[list[Block]]) -> np.ndarray:
     every = [b for blocks in pages for b in blocks]
     if not every:
         return np.zeros((0, PATH + WORDS + MEASURES), "f4")
-    paths = np.stack([_path_vector(b.path) for b in every])
-    words, _, _, first = words_of(pa.array([b.text for b in every], pa.string()))
-    n = np.diff(first)
-    bag = np.bincount(np.repeat(np.arange(len(every)), n) * WORDS + (words % np.uint64(WORDS)).astype("i8"), minlength=len(every) * WORDS)
-    bag = bag.reshape(-1, WORDS) / np.maximum(np.sqrt(n), 1)[:, None]
-    length = np.array([len(b.text) for b in every])
-    place = np.concatenate([np.arange(len(p)) / max(1, len(p) - 1) for p in pages])
-    measures = np.column_stack([np.log1p(length) / 6, np.log1p(n) / 5, [b.linked / len(b.text) for b in every], place,
-                                [b.text[-1] in ".!?…" for b in every]])
-    return np.concatenate([paths, bag, measures], axis=1).astype("f4")
+    bag, n = counts_of([b.text for b in every])
+    return _vectors([b.vector for b in every], bag, n, [len(b.text) for b in every], [b.linked for b in every],
+                    [b.text[-1] in SENTENCE_ENDS for b in every], [len(p) for p in pages])
+
+
+def measured(blocks: list[Block]) -> list[Measured]:
+    bag, n = counts_of([b.text for b in blocks])
+    return [Measured(b.path, c, k, len(b.text), b.linked, b.text[-1] in SENTENCE_ENDS) for b, c, k in zip(blocks, bag, n.tolist(), strict=True)]
+
+
+def vectors_of_sample(blocks: list[Measured]) -> np.ndarray:
+    return _vectors([path_vector(b.path) for b in blocks], np.stack([b.counts for b in blocks]), [b.n for b in blocks],
+                    [b.length for b in blocks], [b.linked for b in blocks], [b.ends for b in blocks], [len(blocks)])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -285,7 +358,8 @@ def fit(sequences: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPO
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for _ in range(epochs):
         order = random.permutation(len(sequences))
-        for at in range(0, len(order), BATCH):
+        order = order[np.argsort([len(sequences[k]) for k in order], kind="stable")]  # pages of like length together
+        for at in random.permutation(range(0, len(order), BATCH)):
             chosen = order[at : at + BATCH]
             x, lengths = padded([sequences[k] for k in chosen])
             y = np.full(x.shape[:2], -1)
@@ -305,7 +379,7 @@ def fit(sequences: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPO
     return p
 
 
-def variants(blocks: list[Block], labels: list[int], n: int, seed: int) -> list[tuple[list[Block], list[int]]]:
+def variants(blocks: list[Measured], labels: list[int], n: int, seed: int) -> list[tuple[list[Measured], list[int]]]:
     """The page, and `n` more in which its blocks stand under other usual containers."""
     random = np.random.default_rng(seed)
     out = [(blocks, labels)]
@@ -313,19 +387,31 @@ def variants(blocks: list[Block], labels: list[int], n: int, seed: int) -> list[
     outer = [b for b, y in zip(blocks, labels, strict=True) if y == 0]
     pick = lambda values: values[int(random.integers(len(values)))]
 
-    def place(b: Block, path: tuple[str, ...], y: int) -> tuple[Block, int]:
-        linked = len(b.text) if y == 0 and random.random() < 0.3 else 0
-        return Block(("html", "body", *path), b.text, linked), y
+    def place(b: Measured, path: tuple[str, ...], y: int) -> tuple[Measured, int]:
+        return b.at(("html", "body", *path), b.length if y == 0 and random.random() < 0.3 else 0), y
+
+    def deeper(most: int) -> tuple[str, ...]:
+        """Levels of containers that say little, on some pages."""
+        return tuple(pick(("section", "div row", "div col", "div inner", "div box")) for _ in range(int(random.integers(most)) if random.random() < 0.2 else 0))
 
     for _ in range(n if inner else 0):
+        shape = random.random()
+        inside = list(inner)
+        if shape < 0.3:  # paragraphs joined to long ones, or all in one
+            k = int(random.integers(1, len(inside) + 1))
+            inside = [joined(inside[i : i + k], int(pick((1, 1, 3, 20, 200, 2_000)))) for i in range(0, len(inside), k)]
         wrap = tuple("div" if random.random() < 0.5 else f"div {pick(('page', 'wrapper', 'container', 'layout', 'site'))}" for _ in range(int(random.integers(3))))
         article = pick((("article",), ("main",), ("main", "article"), ("div content", "article"), *((f"div {w}",) for w in INSIDE_WORDS),
                         ("div post", "div post content"), ("section", "div article body"), ("div main", "div story")))
         tags = lambda: pick(("p", "p", "p", "h", "li", "blockquote", "div", "td"))
+        article = (*deeper(4), *article, *deeper(7))
         page = []
         texts = outer + inner
+        alone = random.random() < 0.05
 
-        def junk(parent: tuple[str, ...], most: int) -> list[tuple[Block, int]]:
+        def junk(parent: tuple[str, ...], most: int) -> list[tuple[Measured, int]]:
+            if alone:
+                return []
             kind = random.random()
             if kind < 0.45:
                 holder = (pick(tuple(OUTSIDE_TAGS)),)
@@ -337,8 +423,9 @@ def variants(blocks: list[Block], labels: list[int], n: int, seed: int) -> list[
 
         for _ in range(int(random.integers(1, 4))):
             page += junk(wrap, 6)
-        page.append(place(inner[0], (*wrap, *article, pick(("h", "h", "header h"))), 1))
-        for b in inner[1:]:
+        if len(inside) > 1:
+            page.append(place(inside[0], (*wrap, *article, pick(("h", "h", "header h"))), 1))
+        for b in inside[len(inside) > 1 :]:
             page.append(place(b, (*wrap, *article, tags()), 1))
             if random.random() < 0.08:
                 page += junk((*wrap, *article), 2)
@@ -353,25 +440,35 @@ def variants(blocks: list[Block], labels: list[int], n: int, seed: int) -> list[
 def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, np.ndarray] | None:
     """Weights fitted on a bounded sample; None if no page of it has blocks with sure labels."""
     sample = pages.filter("html IS NOT NULL").select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
-    parsed = sample.mapInArrow(on_workers(_sample_blocks), "page_id long, paths array<array<string>>, texts array<string>, linked array<int>")
+    parsed = sample.mapInArrow(on_workers(_sample_blocks), SAMPLE)
     sequences, labels = [], []
-    rows = parsed.orderBy("page_id").collect()  # at most sample_pages rows of SAMPLE_BLOCKS blocks
-    read = [[Block(tuple(p), t, n) for p, t, n in zip(row["paths"], row["texts"], row["linked"], strict=True)] for row in rows]
+    rows = parsed.orderBy("page_id").collect()  # at most sample_pages rows of SAMPLE_BLOCKS blocks, without their texts
+    read = [[Measured(tuple(p), np.array(c), *rest) for p, c, *rest in zip(r["paths"], r["counts"], r["n"], r["length"], r["linked"], r["ends"], strict=True)]
+            for r in rows]
     for row, blocks, known in zip(rows, read, labels_of(read), strict=True):
         for own, y in variants(blocks, known, VARIANTS, zlib.crc32(str(row["page_id"]).encode())):
             if own and max(y) >= 0:
-                sequences.append(vectors_of([own]))
+                sequences.append(vectors_of_sample(own))
                 labels.append(np.array(y))
     return fit(sequences, labels) if sequences else None
 
 
+SAMPLE = ("page_id long, paths array<array<string>>, counts array<array<long>>, n array<long>, length array<long>, linked array<long>, "
+          "ends array<boolean>")
+
+
 def _sample_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "html", BATCH_BYTES):
-        found = [blocks_of(h)[:SAMPLE_BLOCKS] for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_pydict({
-            "page_id": batch.column("page_id"), "paths": pa.array([[list(b.path) for b in p] for p in found], pa.list_(pa.list_(pa.string()))),
-            "texts": pa.array([[b.text[:2000] for b in p] for p in found], pa.list_(pa.string())),
-            "linked": pa.array([[b.linked for b in p] for p in found], pa.list_(pa.int32()))})
+        for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            found = blocks_of(html, paths=True)
+            first = zlib.crc32(f"{page}".encode()) % max(1, len(found) - SAMPLE_BLOCKS + 1)
+            found = found[first : first + SAMPLE_BLOCKS]
+            rows = measured(found)
+            lists = {"paths": [list(b.path) for b in rows], "counts": [b.counts.tolist() for b in rows],
+                     **{k: [getattr(b, k) for b in rows] for k in ("n", "length", "linked", "ends")}}
+            kinds = [pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            columns = {k: pa.array([v], pa.list_(kind)) for (k, v), kind in zip(lists.items(), kinds, strict=True)}
+            yield pa.RecordBatch.from_pydict({"page_id": pa.array([page], pa.int64()), **columns})
 
 
 def _texts(batches: Iterator[pa.RecordBatch], p: dict[str, np.ndarray] | None) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -233,7 +234,7 @@ def test_open_head():
     page = PAGE.format("a b")
     texts = lambda html: [b.text for b in blocks.blocks_of(html)]
     assert texts(page.replace("</head>", "")) == texts(page.replace("</head><body>", "")) == texts(page) and "menu a b" in texts(page)
-    assert all("head" not in b.path for b in blocks.blocks_of(page.replace("</head>", "")))
+    assert all("head" not in b.path for b in blocks.blocks_of(page.replace("</head>", ""), paths=True))
 
 
 @pytest.mark.parametrize("holder", ["div class='post'", "div"])
@@ -244,23 +245,74 @@ def test_pages_without_article_tags(spark, holder):
         assert f"Second paragraph <{w}>." in r["text"] and "menu" not in r["text"] and "Buy" not in r["text"]
 
 
-def test_other_layouts():
-    """Containers that the sample pages do not have, from the variants."""
-    pages = [blocks.blocks_of(PAGE.format(prose(k, 12))) for k in range(80)]
+def fitted(pages: list[str]) -> dict:
     sequences, labels = [], []
-    for k, page in enumerate(pages):
-        for own, y in blocks.variants(page, [blocks.sure_label(b.path) for b in page], blocks.VARIANTS, k):
-            sequences.append(blocks.vectors_of([own]))
+    for k, html in enumerate(pages):
+        page = blocks.blocks_of(html, paths=True)
+        for own, y in blocks.variants(blocks.measured(page), [blocks.sure_label(b.path) for b in page], blocks.VARIANTS, k):
+            sequences.append(blocks.vectors_of_sample(own))
             labels.append(np.array(y))
-    model = blocks.fit(sequences, labels)
+    return blocks.fit(sequences, labels)
+
+
+def article(model: dict, html: str) -> list[str]:
+    own = blocks.blocks_of(html)
+    x, lengths = blocks.padded([blocks.vectors_of([own])])
+    logits, _ = blocks.forward(x, lengths, model)
+    return [b.text for b, z in zip(own, logits[:, 0], strict=True) if z > 0]
+
+
+def test_other_layouts():
+    """Containers that the sample pages do not have, from the variants."""
+    model = fitted([PAGE.format(prose(k, 12)) for k in range(80)])
     html = """<body><header><p>Site name</p></header><div class="menu"><ul><li>One</li></ul></div><div class="cookie-notice">We use cookies.</div>
     <main><div class="content"><h2>Title here</h2><p>Some words of text.</p><blockquote>Quoted words.</blockquote><p>Last words.</p></div></main>
     <form><label>Name</label></form><section class="comments"><div class="comment"><p>Nice words, thanks.</p></div></section>
     <aside><p>Related</p></aside><footer><p>Imprint</p></footer></body>"""
-    own = blocks.blocks_of(html)
-    x, lengths = blocks.padded([blocks.vectors_of([own])])
-    logits, _ = blocks.forward(x, lengths, model)
-    assert [b.text for b, z in zip(own, logits[:, 0], strict=True) if z > 0] == ["Title here", "Some words of text.", "Quoted words.", "Last words."]
+    assert article(model, html) == ["Title here", "Some words of text.", "Quoted words.", "Last words."]
+
+
+def test_block_lengths():
+    """A paragraph of any length is article, inside an article with others or alone in it, and however deep it stands."""
+    model = fitted([PAGE.format(prose(k, 12)) for k in range(80)])
+    for n in (1, 3, 10, 100, 1_000, 10_000, 100_000):
+        text = prose(n, n) + "."
+        assert article(model, f"<body><article><p>{text}</p></article></body>") == [text], n
+        page = PAGE.replace("Second   <i>par</i>agraph &lt;{0}&gt;.", text).format("a b")
+        assert article(model, page) == ["Head a b & tail", "First para\xad a b.", text], n
+    for depth in (1, 5, 9, 12, 16):
+        page = PAGE.replace("<article>", "<article>" + "<div>" * depth).replace("</article>", "</div>" * depth + "</article>")
+        page = page.replace('<div class="ad">', '<div class="ad">' + "<div>" * depth).replace(" now.</div>", " now." + "</div>" * (depth + 1))
+        assert article(model, page.format("a b")) == ["Head a b & tail", "First para\xad a b.", "Second paragraph <a b>."], depth
+
+
+def test_hidden_and_deep_markup():
+    texts = lambda html: [b.text for b in blocks.blocks_of(html)]
+    html = """<p>a</p><div hidden><p>b</p></div><div class="hidden x">c</div><p style="color:red; display: none">d</p><p hidden="until-found">e
+    <p data-x=" hidden ">f</p><p>g <span hidden>no</span>h</p>"""
+    assert texts(html) == ["a", "c", "f", "g h"]
+    took = []
+    for n in (4_000, 32_000):
+        start = time.perf_counter()
+        assert len(texts("<div>x" * n)) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 24 * took[0]  # eight times the markup
+
+
+def test_held_out_containers():
+    """Containers that neither the word lists nor the variants know: what the whole page adds to a block's own path."""
+    model = fitted([PAGE.format(prose(k, 12)) for k in range(80)])
+    right = every = 0
+    for k, (junk, inside) in enumerate([("zone", "article"), ("q1 q2", "main"), ("top-x", "article"), ("kasten", "main"), ("bloc", "article")]):
+        html = f"""<body><div class="{junk}"><ul><li><a href=x>{prose(k, 2)}</a></li><li><a href=y>{prose(k + 9, 1)}</a></li></ul></div>
+        <{inside} class="xx{k}"><div class="yy{k}"><h2>{prose(k, 4)}</h2><p>{prose(k + 1, 30)}.</p><p>{prose(k + 2, 25)}.</p></div></{inside}>
+        <div class="{junk}"><p><a href=z>{prose(k + 3, 3)}</a></p></div></body>"""
+        own = blocks.blocks_of(html, paths=True)
+        got = set(article(model, html))
+        every += len(own)
+        right += sum((b.text in got) == (inside in " ".join(b.path)) for b in own)
+    print(f"held-out containers: {right} of {every} blocks")
+    assert right >= 0.9 * every
 
 
 def test_gradient():
