@@ -10,8 +10,8 @@ taken back. Every place fails once at most, so the work is linear in the text. P
 own text never come out and are not in the automaton. A character outside the vocabulary is a token of its own, written as
 its bytes.
 
-No piece of the usual models holds a word's start behind other characters, or joins a line break or digit with others. Where
-the vocabulary shows that, texts are cut there first and a worker encodes each distinct chunk once.
+No piece of the usual models holds a word's start behind other characters, or joins a line break or digit with others.
+Where the vocabulary shows that, texts are cut there first and a worker encodes each distinct chunk once.
 
 Defined cases: a null or empty text has the end id alone and decodes to an empty text; repeated rows are encoded each for
 itself; an empty table gives no rows; extra columns stay untouched, but for one that has the name
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -75,7 +76,8 @@ class Pieces:
             self.automaton.add_word(text, (token, len(text)))
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
         self.chunks = self._pattern()
         self.controls = {i for i in range(size) if model.is_control(i)}
         self.surface = [n.replace(SPACE, " ").encode() for n in self.names]
@@ -84,12 +86,12 @@ class Pieces:
         self.surface[model.unk_id()] = model.decode([model.unk_id()]).encode()
 
     def _pattern(self) -> re.Pattern:
-        """Chunks whose borders no piece crosses."""
-        alone = [c for c in map(chr, range(128)) if not any(c in b for b in self.bigrams)]
+        """Chunks whose borders no piece crosses: no piece holds the characters on both sides of one next to each other."""
         if any(b[1] == SPACE != b[0] for b in self.bigrams):
             return re.compile(".+", re.DOTALL)
-        single = "".join(map(re.escape, alone))
-        return re.compile(f"{SPACE}*[^{SPACE}{single}]+|{SPACE}+|[{single}]" if single else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        single = [c for c in map(chr, range(128)) if not any(c in b for b in self.bigrams)]
+        single = "".join(map(re.escape, single))
+        return re.compile(f"{SPACE}*[^{SPACE}{single}]+|{SPACE}+" + (f"|[{single}]" if single else ""))
 
     def _token(self, text: str) -> int:
         """The number of a piece or character."""
@@ -115,14 +117,11 @@ class Pieces:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether two tokens stay as they are next to each other."""
-        key = (left, right)
-        found = self.compatible.get(key)
-        if found is None:
-            a, b = self.texts[left], self.texts[right]
-            found = a[-1] + b[0] not in self.bigrams or self.merge(a + b) == [a, b]
-            if len(self.compatible) >= PAIRS:
-                self.compatible.clear()
-            self.compatible[key] = found
+        a, b = self.texts[left], self.texts[right]
+        found = a[-1] + b[0] not in self.bigrams or self.merge(a + b) == [a, b]
+        if len(self.compatible) >= PAIRS:
+            self.compatible.clear()
+        self.compatible[left, right] = found
         return found
 
     def tokens_of(self, text: str) -> list[int]:
@@ -130,16 +129,21 @@ class Pieces:
         n, longest = len(text), {}
         for end, (token, length) in self.automaton.iter(text):
             longest[end + 1 - length] = token  # a later end is a longer piece
-        lengths, shorter, fits = self.lengths, self.shorter, self.fits
+        lengths, shorter, compatible = self.lengths, self.shorter, self.compatible
         failed = bytearray((n >> 3) + 1)
         out: list[int] = []
-        place = 0
+        place, last = 0, None
         token = longest[0] if 0 in longest else self._token(text[0])
         while True:
             end = place + lengths[token]
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or fits(out[-1], token)):
+            fits = not failed[end >> 3] >> (end & 7) & 1
+            if fits and last is not None:
+                fits = compatible.get((last, token))
+                if fits is None:
+                    fits = self.fits(last, token)
+            if fits:
                 out.append(token)
-                place = end
+                place, last = end, token
                 if place == n:
                     return out
                 token = longest[place] if place in longest else self._token(text[place])
@@ -148,21 +152,30 @@ class Pieces:
                 failed[place >> 3] |= 1 << (place & 7)
                 token = out.pop()
                 place -= lengths[token]
+                last = out[-1] if out else None
             token = shorter[token]
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> array:
         """The ids of a text, without an end id."""
-        known, out = self.known, []
+        known, out = self.known, bytearray()
         for chunk in self.chunks.findall(self.model.normalize(text)):
             ids = known.get(chunk)
             if ids is None:
-                ids = tuple(chain.from_iterable(map(self.ids.__getitem__, self.tokens_of(chunk))))
-                if len(chunk) <= CHUNK_CHARS:
-                    if len(known) >= CHUNKS:
-                        known.clear()
-                    known[chunk] = ids
+                ids = self._chunk(chunk)
+                known = self.known
             out += ids
-        return out
+        return array("i", bytes(out))
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk that is not known, as 32-bit numbers. What the last clearing but one has left is still known."""
+        ids = self.former.get(chunk)
+        if ids is None:
+            ids = array("i", chain.from_iterable(map(self.ids.__getitem__, self.tokens_of(chunk)))).tobytes()
+        if len(chunk) <= CHUNK_CHARS:
+            if len(self.known) >= CHUNKS:
+                self.former, self.known = self.known, {}
+            self.known[chunk] = ids
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids. Bytes that are no character, also as a control token parts them, are left to the library."""
@@ -195,15 +208,21 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
 def _encoded(batches: Iterator[pa.RecordBatch], text: str, name: str, path: str) -> Iterator[pa.RecordBatch]:
     model = pieces(path)
     for batch in by_bytes(batches, text, BATCH_BYTES):
-        ids = [[*model.encode(t), model.end] if t else [model.end] for t in batch.column(text).to_pylist()]
-        yield _with(batch, name, pa.array(ids, pa.list_(pa.int32())))
+        ids, offsets = array("i"), array("i", [0])
+        for t in batch.column(text).to_pylist():
+            if t:
+                ids += model.encode(t)
+            ids.append(model.end)
+            offsets.append(len(ids))
+        values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
+        yield _with(batch, name, pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(offsets), [None, pa.py_buffer(offsets)]), values))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], ids: str, name: str, path: str) -> Iterator[pa.RecordBatch]:
     model = pieces(path)
     for batch in batches:
         column = batch.column(ids)
-        texts = (model.decode(column[i].as_py() or []) for i in range(len(column)))
+        texts = (model.decode([] if i is None else i.to_numpy().tolist()) for i in (c.values for c in column))
         yield _with(batch, name, pa.array(texts, pa.string()))
 
 
