@@ -8,11 +8,12 @@ full sets.
 * A token that one class alone has matches nothing. Of the others, a class is posted under the rarest ones only: two
   classes with MATCHES tokens in common share one of their COORDINATES - MATCHES + 1 rarest (prefix filter; rarest by
   the count over all classes). Classes with fewer than MATCHES shared tokens are out.
-* Hot groups: in some rounds every class is compared with the nearest of the leaders of its postings (first those of most
-  common tokens, then any), which joins a large group of copies in linear work. Only pairs of different components are
-  then joined, under their first common token, and only if the shingles that each side shares with any candidate at all
-  could make a link and a sketch of `BITS` bits is near enough; these and the count of common tokens are part of the
-  join condition, so no other pair leaves it.
+* Hot groups: in rounds every class is compared with the leaders of its postings (first those of most common tokens, then
+  any), the nearest one of each foreign component, which joins a large group of copies in linear work. Rounds go on while
+  they link one class in `FEW` at least. Only pairs of different components are then joined, under their first common
+  token, and only if the shingles that each side shares with any candidate at all could make a link and a sketch of `BITS`
+  bits is near enough; these, the count of common tokens and the comparison of the full sets are part of the join
+  condition, so no pair but the links that rounds have missed leaves it.
 
 Matches of a pair are binomial in its similarity; MATCHES is the largest number that a pair at the least similarity
 misses with a chance of `MISS` at most, so links are complete but for that chance. All else is exact.
@@ -40,8 +41,8 @@ from specgate.llm.components import components
 from specgate.llm.shingles import shingle_hashes, signature, words_of
 
 COORDINATES = 40
-#: Times that classes are compared with one leader of their postings before pairs are joined.
-ROUNDS = 2
+#: Rounds of leaders end when they link fewer than one class in so many, and leaders of a token from the second round on.
+FEW, LEADERS = 200, 4
 #: Chance that a pair at the least similarity has too few matches.
 MISS = 2e-6
 #: Coordinates of which one bit is kept, for the pairs that leaders leave.
@@ -157,33 +158,39 @@ def near_duplicates(
     fit = fit & ((100 + percent) * F.least("usable", "their_usable") >= percent * (F.col("n") + F.col("m")))
     common = F.size(F.array_intersect("tokens", "theirs"))
 
-    links, component = None, shared.select("class", F.col("class").alias("component"))
-    for number in range(ROUNDS):
-        members = posted.join(component, "class")
+    links, component, number, n_shared = None, shared.select("class", F.col("class").alias("component")), 0, shared.count()
+    while True:
+        members = posted.join(component, "class").withColumn("part", F.lit(0) if number == 0 else F.pmod(F.xxhash64("class", F.lit(number)), F.lit(LEADERS)))
         order = F.struct("fame", -F.col("class")) if number == 0 else F.xxhash64("class", "token", F.lit(number))
-        leaders = members.groupBy("token").agg(F.max_by(F.struct(F.col("class").alias("leader"), F.col("component").alias("theirs")), order).alias("l"))
-        followed = members.join(leaders, "token").filter("component != l.theirs").select("class", "l.leader").distinct()
+        leaders = members.groupBy("token", "part").agg(F.max_by(F.struct(F.col("class").alias("leader"), F.col("component").alias("theirs")), order).alias("l"))
+        leaders = leaders.groupBy("token").agg(F.collect_list("l").alias("leaders"))  # at most LEADERS
+        followed = members.join(leaders, "token").select("class", "component", F.explode("leaders").alias("l")).filter("component != l.theirs")
+        followed = followed.select("class", "l.leader", F.col("l.theirs").alias("foreign")).distinct()
         near = followed.join(one, "class").join(two, "leader").filter(fit).withColumn("common", common).filter(F.col("common") >= matches)
-        best = near.groupBy("class").agg(F.max_by("leader", F.struct("common", -F.col("leader"))).alias("leader"))
-        found = _confirm(sets, best.select(F.col("class").alias("a"), F.col("leader").alias("b")), percent)
-        links = scratch.write(found if links is None else links.union(found))
+        best = near.groupBy("class", "foreign").agg(F.max_by("leader", F.struct("common", -F.col("leader"))).alias("leader"))
+        found = scratch.write(_confirm(sets, best.select(F.col("class").alias("a"), F.col("leader").alias("b")), percent))
+        links = found if links is None else links.union(found)
         joined = components(scratch, links).select(F.col("v").alias("class"), F.col("component").alias("now"))
-        component = shared.select("class").join(joined, "class", "left").select("class", F.coalesce("now", "class").alias("component"))
+        component = scratch.write(shared.select("class").join(joined, "class", "left").select("class", F.coalesce("now", "class").alias("component")))
+        number += 1
+        if found.count() * FEW <= n_shared:
+            break
 
     posted = posted.select("class", "token").join(component, "class")
     mixed = posted.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     posted = posted.join(mixed.filter("low != high").select("token"), "token", "left_semi")
     posted = posted.join(shared.select("class", "n", "usable", "tokens", prefix.alias("first")), "class")
-    posted = scratch.write(posted.join(sets.select("class", "bits"), "class"))
+    posted = scratch.write(posted.join(sets, "class"))
     other = posted.select(F.col("token").alias("t"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("theirs"),
                           F.col("first").alias("their_first"), F.col("component").alias("c"), F.col("usable").alias("their_usable"),
-                          F.col("bits").alias("their_bits"))
+                          F.col("bits").alias("their_bits"), F.col("hashes").alias("their_hashes"))
     apart = (F.col("token") == F.col("t")) & (F.col("class") < F.col("b")) & (F.col("component") != F.col("c"))
     once = F.get(F.array_intersect("first", "their_first"), F.lit(0)) == F.col("token")
     unlike = functools.reduce(operator.add, [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("their_bits", F.lit(i)))) for i in range(BITS // 64)])
     like = unlike <= most_unlike(percent)
-    rest = posted.join(other, apart & fit & like & once & (common >= matches)).select(F.col("class").alias("a"), "b")
-    links = scratch.write(links.union(_confirm(sets, rest, percent)))
+    linked = (100 + percent) * F.size(F.array_intersect("hashes", "their_hashes")) >= percent * (F.col("n") + F.col("m"))
+    rest = posted.join(other, apart & fit & like & once & (common >= matches) & linked).select(F.col("class").alias("a"), "b")
+    links = scratch.write(links.union(rest))
     whole = components(scratch, links)
     named = classes.select("digest", "class").join(whole.withColumnRenamed("v", "class"), "class", "left").select(
         "digest", F.coalesce("component", "class").alias("component_id"))
