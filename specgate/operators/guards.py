@@ -1,9 +1,11 @@
 """Checks of judged rows and candidate items against the page lines (F1, H1-H4).
 
 Every match between a row and a line is an equi-join on a printed value or
-word inside the page, so one very large page is spread over its values. Rows
-are reduced to the distinct values they need and lines to the distinct values
-they carry before any join.
+word inside the page, so one very large page is spread over its values. Where
+a line must carry several numbers, rows are reduced to their distinct sets of
+needed numbers and lines to their distinct sets of printed ones; a needed set
+meets only the line sets that carry its rarest number, and the row ids are
+attached last.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from specgate.functions import numbers as N
 from specgate.functions import text as T
+from specgate.scan import running_sum
+from specgate.session import materialize
 
 PAGE = ["doc_id", "page"]
 
@@ -46,43 +50,62 @@ def line_values(lines: DataFrame) -> DataFrame:
     return lines.select(*PAGE, "line_no", F.inline(N.line_numbers(F.col("line")))).distinct()
 
 
-def _needed(rows: DataFrame, row_id: list[str], strings: Column, numbers: list[str]) -> DataFrame:
-    """Distinct number tokens a row needs, as printed strings."""
+def _tokens(strings: Column, numbers: list[str]) -> Column:
+    """Distinct number tokens (val, digits) of printed strings and of number columns."""
     plain = F.filter(F.array(*[N.number_text(F.col(c)) for c in numbers]), lambda x: x.isNotNull()) if numbers else None
-    tokens = F.array_distinct(F.concat(strings, plain) if numbers else strings)
-    return rows.select(*row_id, F.explode(tokens).alias("tok")).select(
-        *row_id, "tok", N.token_value(F.col("tok")).alias("val"), N.digits_only(F.col("tok")).alias("digits")
-    )
+    texts = F.array_distinct(F.concat(strings, plain) if numbers else strings)
+    return F.transform(texts, lambda t: F.struct(N.token_value(t).alias("val"), N.digits_only(t).alias("digits")))
+
 
+def _printed(nums: str, token: Column) -> Column:
+    """Whether a line's numbers hold the value, or the same two or more digits."""
+    return F.exists(nums, lambda n: F.coalesce(n["val"] == token["val"], F.lit(False)) | (
+        (F.length(token["digits"]) >= 2) & F.coalesce(n["digits"] == token["digits"], F.lit(False))))
 
-def _on_lines(need: DataFrame, values: DataFrame, row_id: list[str]) -> DataFrame:
-    """(row, tok, line) where the line prints the value, or the same two or more digits.
 
-    The two ways are two equi-joins; an OR condition would become a nested loop.
+def _on_one_line(need: DataFrame, lines: DataFrame, row_id: list[str], every_spec: bool) -> DataFrame:
+    """The ids of rows (ids, spec, result: arrays of tokens) of which one line carries all numbers of `spec` (one of them,
+    without `every_spec`) and one of `result`.
+
+    A distinct need is probed with the numbers that stand on the fewest distinct lines of its page: one number of `spec` if
+    all are needed, else all of the side with fewer lines. Value and digits are two equi-joins; an OR condition would become
+    a nested loop.
     """
-    by_value = need.join(values.select(*PAGE, "line_no", "val").distinct(), [*PAGE, "val"]).select(*row_id, "tok", "line_no")
-    by_digits = need.where(F.length("digits") >= 2).join(
-        values.select(*PAGE, "line_no", "digits").distinct(), [*PAGE, "digits"]
-    ).select(*row_id, "tok", "line_no")
-    return by_value.unionByName(by_digits).distinct()
+    need = materialize(need.where((F.size("spec") > 0) & (F.size("result") > 0)).select(*row_id, "spec", "result"))
+    wanted = need.select(*PAGE, "spec", "result").distinct()
+    contents = lines.select(*PAGE, F.array_sort(F.array_distinct(N.line_numbers(F.col("line")))).alias("nums")).where(F.size("nums") > 0)
+    contents = materialize(contents.distinct())
+    posted = contents.select(*PAGE, "nums", F.inline("nums"))
+    by_value = posted.groupBy(*PAGE, "val").agg(F.count(F.lit(1)).alias("with_value"))
+    by_digits = posted.where(F.length("digits") >= 2).groupBy(*PAGE, "digits").agg(F.count(F.lit(1)).alias("with_digits"))
+    on = lambda side, tokens: F.transform(tokens, lambda t: F.struct(F.lit(side).alias("side"), t.alias("tok")))
+    sides = F.concat(on(0, "spec"), on(1, "result"))
+    tokens = wanted.select("*", F.explode(sides).alias("x")).select(*PAGE, "spec", "result", "x.side", "x.tok", "x.tok.val", "x.tok.digits")
+    lines_with = (F.coalesce("with_value", F.lit(0)) + F.coalesce("with_digits", F.lit(0))).alias("n")
+    tokens = tokens.join(by_value, [*PAGE, "val"], "left").join(by_digits, [*PAGE, "digits"], "left").select(
+        *PAGE, "spec", "result", "side", "tok", lines_with)
+    found = F.struct("n", "tok")
+    spec, result = F.when(F.col("side") == 0, found), F.when(F.col("side") == 1, found)
+    cost = tokens.groupBy(*PAGE, "spec", "result").agg(
+        F.min(spec).alias("rarest"), F.sum(spec["n"]).alias("n_spec"), F.sum(result["n"]).alias("n_result"))
+    cheaper = F.col("n_result") < (F.col("rarest.n") if every_spec else F.col("n_spec"))
+    probe = F.when(cheaper, F.col("result")).otherwise(F.array("rarest.tok") if every_spec else F.col("spec"))
+    possible = (F.col("rarest.n") > 0 if every_spec else F.col("n_spec") > 0) & (F.col("n_result") > 0)
+    probes = materialize(cost.where(possible).select(*PAGE, "spec", "result", F.inline(probe)))
+    carry = (F.forall if every_spec else F.exists)("spec", lambda t: _printed("nums", t)) & F.exists("result", lambda t: _printed("nums", t))
+    hits = probes.join(posted.select(*PAGE, "val", "nums"), [*PAGE, "val"]).where(carry).select(*PAGE, "spec", "result").unionByName(
+        probes.where(F.length("digits") >= 2).join(posted.select(*PAGE, "digits", "nums"), [*PAGE, "digits"]).where(carry).select(*PAGE, "spec", "result"))
+    return need.join(hits.distinct(), [*PAGE, "spec", "result"], "left_semi").select(*row_id)
 
 
 def guard_fails(rows: DataFrame, lines: DataFrame, row_id: list[str]) -> DataFrame:
     """H1: a FAIL stays only if one line prints a result number and all numbers of the limit."""
-    fails = rows.where(F.col("status") == "FAIL")
-    values = line_values(lines)
-    result = _needed(fails, row_id, N.number_strings(F.col("result_raw")), ["result"])
-    spec = _needed(fails, row_id, N.number_strings(F.col("spec_raw")), ["min", "max"])
-    total = spec.groupBy(*row_id).agg(F.count(F.lit(1)).alias("n_need"))
-    # Lines that carry every limit number are few; only those are asked for the result.
-    full = (
-        _on_lines(spec, values, row_id).groupBy(*row_id, "line_no").agg(F.count(F.lit(1)).alias("n"))
-        .join(total, row_id).where(F.col("n") == F.col("n_need")).select(*row_id, "line_no")
-    )
-    located = full.join(_on_lines(result, values, row_id).select(*row_id, "line_no"), [*row_id, "line_no"], "left_semi")
-    provable = total.join(result.select(*row_id).distinct(), row_id, "left_semi")
-    with_text = provable.join(lines.select(*PAGE).distinct(), PAGE, "left_semi")
-    return _mark(rows, with_text.join(located, row_id, "left_anti"), row_id, "FAIL_GUARD")
+    need = rows.where(F.col("status") == "FAIL").select(
+        *row_id, _tokens(N.number_strings(F.col("spec_raw")), ["min", "max"]).alias("spec"),
+        _tokens(N.number_strings(F.col("result_raw")), ["result"]).alias("result"))
+    located = _on_one_line(need, lines, row_id, every_spec=True)
+    provable = need.where((F.size("spec") > 0) & (F.size("result") > 0)).join(lines.select(*PAGE).distinct(), PAGE, "left_semi")
+    return _mark(rows, provable.select(*row_id).join(located, row_id, "left_anti"), row_id, "FAIL_GUARD")
 
 
 def best_lines(rows: DataFrame, lines: DataFrame, row_id: list[str], sig: str = "sig") -> DataFrame:
@@ -215,44 +238,87 @@ def guard_column_shift(rows: DataFrame, lines: DataFrame, row_id: list[str]) ->
     return _mark(rows, column_shift_suspects(judged, lines, row_id), row_id, "COLUMN_SHIFT")
 
 
+#: Characters of a page without white space that are searched as one text; longer pages go through the index.
+BODY_CHARS = 1 << 16
+#: Characters that a long word has at least, and of an indexed gram; characters of a block whose grams one row yields.
+GRAM, BLOCK = 5, 4096
+
+
+def _long_words(sought: DataFrame, lines: DataFrame, text: DataFrame | None) -> DataFrame:
+    """The pairs (page, w) of `sought` whose word stands in the page's text without white space."""
+    pages = sought.select(*PAGE).distinct()
+    if text is not None:
+        lines = text.select(*PAGE, F.lit(0).cast("long").alias("line_no"), F.col("text").alias("line"))
+    pieces = lines.join(pages, PAGE, "left_semi").select(*PAGE, "line_no", F.lower(T.drop_ws(F.col("line"))).alias("piece")).where(F.length("piece") > 0)
+    sizes = pieces.groupBy(*PAGE).agg(F.sum(F.length("piece")).alias("__n"))
+    small = pieces.join(sizes.where(F.col("__n") <= BODY_CHARS).select(*PAGE), PAGE, "left_semi")
+    in_order = F.sort_array(F.collect_list(F.struct("line_no", "piece")))  # at most BODY_CHARS characters
+    bodies = small.groupBy(*PAGE).agg(F.array_join(F.transform(in_order, lambda x: x["piece"]), "").alias("body"))
+    direct = sought.join(bodies, PAGE).where(F.contains("body", "w")).select(*PAGE, "w")
+    large = pieces.join(sizes.where(F.col("__n") > BODY_CHARS).select(*PAGE), PAGE, "left_semi")
+    return direct.unionByName(_indexed_words(sought, large))
+
+
+def page_grams(pieces: DataFrame) -> DataFrame:
+    """(page, gram, at): every run of `GRAM` characters of a page's joined pieces (line_no, piece), with its place.
+
+    Pieces get their place by running sums in bands, then are dealt to blocks of places; a block has its own characters and
+    the first few of the next, so no row holds a page.
+    """
+    placed = running_sum(pieces, PAGE, F.floor(F.col("line_no") / 4096), ["line_no"], F.length("piece"), "start")
+    end = F.col("start") + F.length("piece")
+    first = F.floor(F.greatest(F.lit(0), F.col("start") - GRAM + 1) / BLOCK)
+    blocks = F.explode(F.sequence(first, F.floor((end - 1) / BLOCK))).alias("block")
+    dealt = placed.select(*PAGE, "start", "piece", blocks)
+    low = F.greatest(F.lit(0), F.col("block") * BLOCK - F.col("start"))
+    size = F.col("block") * BLOCK + BLOCK + GRAM - 1 - F.col("start") - low
+    parts = dealt.select(*PAGE, "block", "start", F.substring("piece", (low + 1).cast("int"), size.cast("int")).alias("part"))
+    in_order = F.sort_array(F.collect_list(F.struct("start", "part")))  # at most BLOCK + GRAM - 1 characters
+    body = parts.groupBy(*PAGE, "block").agg(F.array_join(F.transform(in_order, lambda x: x["part"]), "").alias("body"))
+    places = F.explode(F.sequence(F.lit(1), F.length("body") - GRAM + 1)).alias("i")
+    grams = body.where(F.length("body") >= GRAM).select(*PAGE, "block", "body", places)
+    return grams.select(*PAGE, F.substring("body", F.col("i"), F.lit(GRAM)).alias("gram"), (F.col("block") * BLOCK + F.col("i") - 1).alias("at"))
+
+
+def _indexed_words(sought: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Words found by their grams: those at every `GRAM`-th place and the last one must stand one behind the other."""
+    last = F.length("w") - GRAM
+    offsets = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(GRAM)), F.array(last)))
+    asked = sought.select(*PAGE, "w", F.size(offsets).alias("parts"), F.explode(offsets).alias("offset"))
+    asked = asked.withColumn("gram", F.substring("w", F.col("offset") + 1, F.lit(GRAM)))
+    met = asked.join(page_grams(pieces), [*PAGE, "gram"]).groupBy(*PAGE, "w", "parts", (F.col("at") - F.col("offset")).alias("begin"))
+    return met.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("parts")).select(*PAGE, "w").distinct()
+
+
 def drop_ungrounded(items: DataFrame, lines: DataFrame, row_id: list[str], text: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped). An item must be traceable to its page by name, by a line that prints
     a result and a limit number, or by one column of a bar-separated block that prints both.
 
     Long words are searched in the text of the whole page without white space, so that one that
     runs over a line break is found; `text` (doc_id, page, text) gives that text, else the lines
-    are joined, only for pages and words that no line prints as a word. Items of pages without
-    any line are kept.
+    are joined. Items of pages without any line are kept. What a step grounds is gone from the
+    next; the rest is written between the steps.
     """
     words = lines.select(*PAGE, F.explode(F.regexp_extract_all(F.lower("line"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).distinct()
     names = items.select(*row_id, F.explode(F.array_distinct(T.name_tokens(F.col("name")))).alias("w"))
     by_word = names.join(words, [*PAGE, "w"], "left_semi").select(*row_id).distinct()
-    rest = items.join(by_word, row_id, "left_anti")
-    long_words = F.array_distinct(F.filter(T.name_tokens(F.col("name")), lambda t: F.length(t) >= 5))
-    sought = rest.select(*row_id, F.explode(long_words).alias("w"))
-    wanted = sought.select(*PAGE, "w").distinct()
-    if text is None:
-        in_order = F.sort_array(F.collect_list(F.struct("line_no", "line")))
-        text = lines.join(wanted.select(*PAGE).distinct(), PAGE, "left_semi").groupBy(*PAGE).agg(
-            F.array_join(F.transform(in_order, lambda s: s["line"]), "").alias("text"))
-    compact = text.select(*PAGE, F.lower(T.drop_ws(F.col("text"))).alias("body"))
-    printed = wanted.join(compact, PAGE).where(F.contains("body", "w")).select(*PAGE, "w")
-    in_body = sought.join(printed, [*PAGE, "w"], "left_semi").select(*row_id).distinct()
+    rest = items.join(lines.select(*PAGE).distinct(), PAGE, "left_semi").join(by_word, row_id, "left_anti")
+    rest = materialize(rest.select(*row_id, "name", "result", "spec_raw", "spec_min", "spec_max"))
 
-    rest = rest.join(in_body, row_id, "left_anti")
+    sought = rest.select(*row_id, F.explode(F.array_distinct(F.filter(T.name_tokens(F.col("name")), lambda t: F.length(t) >= GRAM))).alias("w"))
+    printed = _long_words(sought.select(*PAGE, "w").distinct(), lines, text)
+    in_body = sought.join(printed, [*PAGE, "w"], "left_semi").select(*row_id).distinct()
     printed_spec = F.concat_ws(" ", "spec_raw", "spec_min", "spec_max")
-    result = _needed(rest, row_id, N.number_strings(F.col("result")), [])
-    spec = _needed(rest, row_id, N.number_strings(printed_spec), [])
-    values = line_values(lines)
-    by_number = _on_lines(result, values, row_id).select(*row_id, "line_no").distinct().join(
-        _on_lines(spec, values, row_id).select(*row_id, "line_no"), [*row_id, "line_no"], "left_semi"
-    ).select(*row_id).distinct()
+    rest = materialize(rest.join(in_body, row_id, "left_anti").withColumns({
+        "need_spec": _tokens(N.number_strings(printed_spec), []), "need_result": _tokens(N.number_strings(F.col("result")), [])}))
+
+    need = rest.select(*row_id, F.col("need_spec").alias("spec"), F.col("need_result").alias("result"))
+    rest = materialize(rest.join(_on_one_line(need, lines, row_id, every_spec=False), row_id, "left_anti"))
 
-    rest = rest.join(by_number, row_id, "left_anti")
-    by_column = _in_one_column(rest, result, spec, lines, row_id)
-    empty = items.join(lines.select(*PAGE).distinct(), PAGE, "left_anti").select(*row_id)
-    hits = by_word.unionByName(in_body).unionByName(by_number).unionByName(by_column).unionByName(empty).distinct()
-    return items.join(hits, row_id, "left_semi"), items.join(hits, row_id, "left_anti")
+    result = rest.select(*row_id, F.inline("need_result"))
+    spec = rest.select(*row_id, F.inline("need_spec"))
+    dropped = materialize(rest.select(*row_id).join(_in_one_column(rest, result, spec, lines, row_id), row_id, "left_anti"))
+    return items.join(dropped, row_id, "left_anti"), items.join(dropped, row_id, "left_semi")
 
 
 def pipe_blocks(lines: DataFrame) -> DataFrame:
@@ -272,7 +338,7 @@ def _in_one_column(rest: DataFrame, result: DataFrame, spec: DataFrame, lines: D
     first_of = numbers.groupBy(*PAGE, "block", "col", "val").agg(F.min("line_no").alias("line_no"))
 
     def first(need: DataFrame, out: str) -> DataFrame:
-        hit = need.join(rest.select(*row_id), row_id, "left_semi").join(first_of, [*PAGE, "val"])
+        hit = need.join(first_of, [*PAGE, "val"])
         return hit.groupBy(*row_id, "block", "col").agg(F.min("line_no").alias(out))
 
     both = first(result, "r").join(first(spec, "s"), [*row_id, "block", "col"]).where(F.col("r") != F.col("s"))

@@ -32,6 +32,16 @@ def number_rows(df: DataFrame, keys: list[str], band: Column, order: list[str],
     return joined.withColumn(out, F.col("__i") + F.col("__o")).drop("__b", "__i", "__o")
 
 
+def running_sum(df: DataFrame, keys: list[str], band: Column, order: list[str], value: Column, out: str) -> DataFrame:
+    """Sum of `value` over the rows before this one inside the group, ordered by band and then by `order`."""
+    banded = df.withColumns({"__b": band, "__v": value})
+    local = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = banded.groupBy(*keys, "__b").agg(F.sum("__v").alias("__n")).withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    banded = banded.withColumn("__i", F.coalesce(F.sum("__v").over(local), F.lit(0)))
+    return _attach(banded, offsets, [*keys, "__b"], []).withColumn(out, F.col("__i") + F.col("__o")).drop("__b", "__v", "__i", "__o")
+
+
 def islands(
     df: DataFrame, keys: list[str], value: str, seq: list[str], gap: str | float, out: str, band_width: float,
     order: str | None = None,
