@@ -5,13 +5,13 @@ from __future__ import annotations
 NUM = r"-?\d+(?:[.,]\d+)?"
 
 ITEMS = """
-b0 AS (SELECT l_orderkey // 4 AS doc_id, CAST(1 + l_suppkey % 2 AS INT) AS page,
+b0 AS MATERIALIZED (SELECT l_orderkey // 4 AS doc_id, CAST(1 + l_suppkey % 2 AS INT) AS page,
          row_number() OVER (PARTITION BY l_orderkey // 4, l_suppkey % 2
                             ORDER BY l_partkey % 4, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT), l_extendedprice) AS item_seq,
          l_partkey, l_suppkey, CAST(l_quantity AS INT) AS q, p_name, lower(p_type) AS p_type, p_size,
          1 + p_size % 20 AS lo, 26 + p_size % 20 AS hi
        FROM lineitem JOIN part ON l_partkey = p_partkey),
-items AS (SELECT doc_id, page, item_seq,
+items AS MATERIALIZED (SELECT doc_id, page, item_seq,
        CASE WHEN l_partkey % 29 = 0 THEN 'Lot number ' || item_seq
             ELSE p_name || ' ' || p_type || ' ' || l_partkey END AS name,
        CASE WHEN l_partkey % 5 = 0 THEN '%' WHEN l_partkey % 5 = 1 THEN 'mm' END AS unit,
@@ -30,7 +30,7 @@ items AS (SELECT doc_id, page, item_seq,
        FROM b0)"""
 
 LINES = """
-lines AS (SELECT doc_id, page, item_seq AS line_no,
+lines AS MATERIALIZED (SELECT doc_id, page, item_seq AS line_no,
   CASE WHEN item_seq % 9 = 0 THEN 'By : QA Dept.'
        WHEN item_seq % 7 = 0 THEN coalesce(spec_raw, '-') || '  |  ' || coalesce(result, '-')
        ELSE name || '  |  ' || coalesce(spec_raw, coalesce(spec_min,'') || '~' || coalesce(spec_max,'')) || '  |  ' ||
@@ -41,7 +41,7 @@ TOKENS = """
 cell AS (SELECT doc_id, page, item_seq, 0 AS col, name AS text FROM items
       UNION ALL SELECT doc_id, page, item_seq, 1, coalesce(spec_raw, spec_min || '~' || spec_max) FROM items
       UNION ALL SELECT doc_id, page, item_seq, 2, result FROM items),
-tokens AS (SELECT doc_id, page, item_seq * 3 + col AS token_seq, text,
+tokens AS MATERIALIZED (SELECT doc_id, page, item_seq * 3 + col AS token_seq, text,
   CAST((80 + item_seq % 20) / 100.0 AS DOUBLE) AS score,
   CAST(100 + 300 * col + item_seq % 5 AS DOUBLE) AS x, CAST(100 + 40 * item_seq + col * 2 AS DOUBLE) AS y,
   CAST(100 + 40 * item_seq + col * 2 - 10 - item_seq % 2 AS DOUBLE) AS y1,
@@ -50,7 +50,7 @@ tokens AS (SELECT doc_id, page, item_seq * 3 + col AS token_seq, text,
   FROM cell WHERE text IS NOT NULL)"""
 
 VARIANTS = """
-variants AS (SELECT doc_id, page, variant, item_seq, name, unit, method,
+variants AS MATERIALIZED (SELECT doc_id, page, variant, item_seq, name, unit, method,
   CASE WHEN variant = 'flat' AND item_seq % 3 = 0 THEN result ELSE spec_raw END AS spec_raw,
   spec_min, spec_max, result
   FROM items CROSS JOIN (SELECT unnest(['flat', 'grid']) AS variant))"""
@@ -130,7 +130,7 @@ def with_results(source: str, out: str) -> str:
    list_transform(regexp_extract_all(trim(result), '{NUM}'), lambda z: CAST(replace(z, ',', '.') AS DOUBLE)) AS r_nums,
    regexp_extract(trim(result), '{sign}', 1) AS r_sign,
    TRY_CAST(replace(regexp_extract(trim(result), '{sign}', 2), ',', '.') AS DOUBLE) AS r_lim FROM {source}),
-{out} AS (SELECT * EXCLUDE (rt, r_sign, r_lim, r_nums),
+{out} AS MATERIALIZED (SELECT * EXCLUDE (rt, r_sign, r_lim, r_nums),
    CASE WHEN r_lim IS NOT NULL THEN CASE WHEN r_sign = '<' THEN 'lt' WHEN r_sign IN ('<=','≤','≦') THEN 'le'
         WHEN r_sign = '>' THEN 'gt' ELSE 'ge' END END AS r_bound,
    CASE WHEN r_lim IS NOT NULL THEN r_lim
@@ -157,7 +157,7 @@ def evaluated(source: str = "items", out: str = "ev") -> str:
      WHEN {d['i']} THEN CASE WHEN r_value=floor(r_value) AND r_value<>0 AND s_op IN ('ge','gt') AND NOT ({d['i10']} AND {d['i100']}) THEN 'DECIMAL_RISK' ELSE '' END
      WHEN r_value=floor(r_value) AND r_value<>0 AND ({d['i10']} OR {d['i100']}) THEN 'OUTSIDE_DECIMAL_RISK'
      ELSE 'OUTSIDE' END AS reason_code FROM {out}q),
-{out} AS (SELECT * EXCLUDE (name, unit, method, spec_raw, spec_min, spec_max),
+{out} AS MATERIALIZED (SELECT * EXCLUDE (name, unit, method, spec_raw, spec_min, spec_max),
    CASE WHEN trim(coalesce(name,'')) = '' THEN '(unknown)' ELSE trim(name) END AS name,
    nullif(trim(unit),'') AS unit, nullif(trim(method),'') AS method,
    coalesce(s_raw, spec_raw) AS spec_raw, CASE WHEN r_value IS NOT NULL THEN r_text ELSE result END AS result_raw,

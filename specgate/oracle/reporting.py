@@ -23,8 +23,8 @@ BEATS = f"""n AS (SELECT doc_id, page, {KEY} AS k, count(*) FILTER (status = 'PA
    count(*) FILTER (status = 'PASS' AND variant = 'grid') AS new_pass, count(*) FILTER (status = 'FAIL' AND variant = 'grid') AS new_fail,
    count(*) FILTER (status = 'SKIP' AND variant = 'flat') AS old_skip,
    bool_or(variant = 'flat' AND status = 'SKIP' AND reason_code IN ('EQ_COPY','EQ_NO_DIRECTION')) AS collapsed FROM ev GROUP BY 1, 2),
- d AS (SELECT d1.*, new_fail = 0 AND keeps AND new_pass > old_pass AS beats FROM d1 JOIN d0 USING (doc_id, page)),
- w AS (SELECT doc_id, page, CASE WHEN beats AND (collapsed OR (doc_id % 2 = 0 AND old_skip > 0)) THEN 'grid' ELSE 'flat' END AS variant FROM d)"""
+ d AS MATERIALIZED (SELECT d1.*, new_fail = 0 AND keeps AND new_pass > old_pass AS beats FROM d1 JOIN d0 USING (doc_id, page)),
+ w AS MATERIALIZED (SELECT doc_id, page, CASE WHEN beats AND (collapsed OR (doc_id % 2 = 0 AND old_skip > 0)) THEN 'grid' ELSE 'flat' END AS variant FROM d)"""
 
 SQL = {
     "summarize": f"{EV}, {SUMMARY} SELECT * FROM s",

@@ -12,11 +12,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specgate.session import materialize
+
 
 def _attach(df: DataFrame, per_band: DataFrame, on: list[str], drop: list[str]) -> DataFrame:
     return df.join(per_band, on, "left").drop(*drop)
 
 
+#: Rows of a group that one band of `quantile_bands` holds, about; cuts of one group at most.
+BAND_ROWS, CUTS = 16_384, 1024
+
+
+def quantile_bands(df: DataFrame, keys: list[str], order: str, out: str, rows: int | None = None) -> DataFrame:
+    """Adds the band of every row: groups of more than `rows` rows are cut at quantiles of their own values of `order`, so
+    bands are about equally full whatever the values are. Equal values share a band, and bands follow the order."""
+    rows = rows or BAND_ROWS
+    marks = [i / 64 for i in range(1, 64)]
+    per_group = df.groupBy(*keys).agg(F.count(order).alias("__n"), F.percentile_approx(order, marks, 4096).alias("__q"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(64) * rows / F.col("__n"))).cast("int")
+    cuts = F.filter(F.array_distinct("__q"), lambda q: q.isNotNull())
+    cuts = F.when(F.col("__n") > rows, F.filter(cuts, lambda _, i: (i + 1) % F.col("__step") == 0)).otherwise(F.array().cast("array<double>"))
+    per_group = per_group.withColumn("__step", step).select(*keys, cuts.alias("__cuts"))
+    banded = df.join(per_group, keys)
+    return banded.withColumn(out, F.size(F.filter("__cuts", lambda c: c <= F.col(order).cast("double")))).drop("__cuts")
+
+
 def number_rows(df: DataFrame, keys: list[str], band: Column, order: list[str], out: str) -> DataFrame:
     """1-based position inside the group, ordered by band and then by `order`."""
     banded = df.withColumn("__b", band)
@@ -43,18 +63,19 @@ def running_sum(df: DataFrame, keys: list[str], band: Column, order: list[str],
 
 
 def islands(
-    df: DataFrame, keys: list[str], value: str, seq: list[str], gap: str | float, out: str, band_width: float,
+    df: DataFrame, keys: list[str], value: str, seq: list[str], gap: str | float, out: str, band_width: float | None = None,
     order: str | None = None,
 ) -> DataFrame:
     """0-based island number of `value` inside the group, scanned by `order` (the value itself by default).
 
     A new island starts where the step from the previous value exceeds `gap`, a
     number or a column that is constant per group. Bands of the order column are
-    `band_width` wide, so a group of any size is scanned by many tasks.
+    `band_width` wide, or cut at the group's own quantiles, so a group of any size
+    is scanned by many tasks.
     """
     order = order or value
     limit = F.col(gap) if isinstance(gap, str) else F.lit(float(gap))
-    banded = df.withColumn("__b", F.floor(F.col(order) / band_width))
+    banded = df.withColumn("__b", F.floor(F.col(order) / band_width)) if band_width else quantile_bands(df, keys, order, "__b")
     local = Window.partitionBy(*keys, "__b").orderBy(order, *seq)
     step = F.abs(F.col(value) - F.lag(value).over(local))
     banded = banded.withColumn("__new", F.when(step <= limit, 0).otherwise(1))
@@ -94,16 +115,35 @@ def fill_forward(
     return joined.drop("__b", *[f"__l_{o}" for o in cols], *[f"__p_{o}" for o in cols])
 
 
+#: Bins of a histogram.
+BINS = 1024
+
+
 def upper_median(df: DataFrame, keys: list[str], value: str, out: str, default: float) -> DataFrame:
     """Element floor(n/2) of the sorted positive values per group.
 
-    Works on value counts, which combine before the shuffle; no group is collected.
+    Selection by histograms: counts per distinct value combine before the shuffle; they are counted into `BINS` bins over the
+    group's range, a scan over the bins finds the one that holds the rank, and that bin is counted into bins again. Only the
+    values of the last bin are scanned in order, so no group is sorted as a whole.
     """
-    counts = df.where(F.col(value) > 0).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    ranked = counts.withColumns({
-        "__hi": F.sum("__n").over(upto), "__at": F.floor(F.sum("__n").over(whole) / 2),
-    }).where((F.col("__hi") > F.col("__at")) & (F.col("__hi") - F.col("__n") <= F.col("__at")))
-    medians = ranked.select(*keys, F.col(value).alias(out))
+    counts = df.where(F.col(value) > 0).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    left = materialize(counts)  # read by every pass
+    picked = left.groupBy(*keys).agg(F.floor(F.sum("__n") / 2).alias("__rank"))
+    ordered = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+
+    def holding(parts: DataFrame, by: str) -> DataFrame:
+        """Of each group the part that holds its rank, and the rank inside that part."""
+        before = F.coalesce(F.sum("__n").over(ordered.orderBy(by)), F.lit(0))
+        inside = F.col("__rank") - before
+        return parts.withColumn("__in", inside).where((F.col("__in") >= 0) & (F.col("__in") < F.col("__n")))
+
+    for _ in range(2):
+        ends = left.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        share = (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+        binned = left.join(ends, keys).withColumn("__bin", F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(BINS - 1), F.floor(share * BINS))).otherwise(0))
+        bins = binned.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__n")).join(picked, keys)
+        chosen = holding(bins, "__bin").select(*keys, "__bin", F.col("__in").alias("__rank"))
+        left = binned.join(chosen.drop("__rank"), [*keys, "__bin"], "left_semi").select(*keys, "__v", "__n")
+        picked = chosen.drop("__bin")
+    medians = holding(left.join(picked, keys), "__v").select(*keys, F.col("__v").alias(out))
     return df.join(medians, keys, "left").withColumn(out, F.coalesce(out, F.lit(float(default))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import hashlib
 import os
 import time
@@ -40,6 +42,8 @@ def test_file_stream(spark, tmp_path):
     put(source, "4-twin.png", b"old")
     assert ingest() == ["new.pdf", "old.Pdf"]
     assert ingest() == ["new.pdf", "old.Pdf"]
+    I.compact(spark, target)
+    assert ingest() == ["new.pdf", "old.Pdf"] and len(list(Path(target).rglob("*.parquet"))) == 2
 
 
 def test_no_document_vanishes(spark):
