@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgate.llm.common import Scratch, by_bytes, join_counted, on_workers
@@ -103,21 +103,16 @@ def _full_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
             pa.array([_bits(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "digest", "hashes", "bits"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            p, q = x.values.to_numpy(), y.values.to_numpy()
-            common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-            keep.append(100 * common >= percent * (len(p) + len(q) - common))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _linked(x: str, y: str, percent: int) -> Column:
+    """Whether two full sets have that many hundredths of their union in common."""
+    return (100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (F.size(x) + F.size(y))
 
 
 def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     x = sets.select(F.col("class").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("class").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(on_workers(_confirmed, percent), "a long, b long")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").where(_linked("x", "y", percent)).select("a", "b")
 
 
 def near_duplicates(
@@ -188,8 +183,7 @@ def near_duplicates(
     once = F.get(F.array_intersect("first", "their_first"), F.lit(0)) == F.col("token")
     unlike = functools.reduce(operator.add, [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("their_bits", F.lit(i)))) for i in range(BITS // 64)])
     like = unlike <= most_unlike(percent)
-    linked = (100 + percent) * F.size(F.array_intersect("hashes", "their_hashes")) >= percent * (F.col("n") + F.col("m"))
-    rest = posted.join(other, apart & fit & like & once & (common >= matches) & linked).select(F.col("class").alias("a"), "b")
+    rest = posted.join(other, apart & fit & like & once & (common >= matches) & _linked("hashes", "their_hashes", percent)).select(F.col("class").alias("a"), "b")
     links = scratch.write(links.union(rest))
     whole = components(scratch, links)
     named = classes.select("digest", "class").join(whole.withColumnRenamed("v", "class"), "class", "left").select(
