@@ -132,3 +132,21 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         "spec_raw",
         F.expr("CASE WHEN variant = 'flat' AND item_seq % 3 = 0 THEN result ELSE spec_raw END"),
     )
+
+
+def second_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readings of a second, better engine: one copies fewer results into the limit, the other loses some results."""
+    i = items(spark, sf_dir).withColumn("variant", F.explode(F.array(F.lit("hq_flat"), F.lit("hq_grid"))))
+    return i.withColumns({
+        "spec_raw": F.expr("CASE WHEN variant = 'hq_flat' AND item_seq % 6 = 0 THEN result ELSE spec_raw END"),
+        "result": F.expr("CASE WHEN variant = 'hq_grid' AND item_seq % 10 = 0 THEN NULL ELSE result END"),
+    })
+
+
+def page_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engine, image and size of the second text of every page; also where its grid comes from."""
+    return items(spark, sf_dir).select(*PAGE).distinct().selectExpr(
+        *PAGE, "CASE WHEN doc_id % 3 = 0 THEN 'text-layer' ELSE 'rapidocr' END AS engine", "(doc_id + page) % 7 > 0 AS has_image",
+        "CASE WHEN (2 * doc_id + page) % 5 = 0 THEN 49 ELSE 50 END AS second_chars",
+        "CASE doc_id % 4 WHEN 0 THEN 'structural' WHEN 1 THEN 'scanned-vector' WHEN 2 THEN 'spatial' END AS grid_source",
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from specgate.functions.numbers import number_text
 from specgate.functions.text import blank_to_null, compact_key, trim_ws
+from specgate.operators.pages import OCR_CHARS, PRIMARY_OCR
 from specgate.operators.verdict import COLLAPSE_CODES
 
 # How close to a limit counts as near, and the margin that needs no review.
@@ -76,14 +77,17 @@ def keep_best(
     return rows.join(d.select(*keys, F.col("winner").alias("variant")), [*keys, "variant"], "left_semi")
 
 
-def keep_best_hq(rows: DataFrame, keys: list[str], incumbent: str, challenger: str) -> DataFrame:
-    """The high-quality reading replaces the best one only if it beats it and a SKIP may benefit."""
-    d = challenger_beats(rows, keys, incumbent, challenger)
-    worth = reprocess_queue(rows.where(F.col("variant") == incumbent), keys)
-    d = d.join(worth, keys, "left").withColumn(
-        "variant", F.when(F.col("n_worth").isNotNull() & F.col("beats"), challenger).otherwise(incumbent)
-    )
-    return rows.join(d.select(*keys, "variant"), [*keys, "variant"], "left_semi")
+def keep_best_hq(best: DataFrame, second: DataFrame, keys: list[str], pages: DataFrame) -> DataFrame:
+    """The winner of a high-quality reading (I5 again, `second`) replaces the best rows of a scanned page, where a SKIP
+    may benefit, the second text is long enough to be one, and it beats them. Rows of other pages of `second` are ignored.
+
+    `pages` has engine, has_image and second_chars, the characters of the second text that are not white space.
+    """
+    rows = best.withColumn("__of", F.lit("best")).unionByName(second.withColumn("__of", F.lit("second")))
+    d = challenger_beats(rows.withColumn("variant", F.col("__of")), keys, "best", "second")
+    worth = reprocess_queue(best, keys, pages.where(F.col("second_chars") >= OCR_CHARS))
+    d = d.join(worth, keys, "left").withColumn("__of", F.when(F.col("n_worth").isNotNull() & F.col("beats"), "second").otherwise("best"))
+    return rows.join(d.select(*keys, "__of"), [*keys, "__of"], "left_semi").drop("__of")
 
 
 def pass_identity() -> list[Column]:
@@ -132,9 +136,12 @@ def may_benefit() -> Column:
     return _is("SKIP") & (spec.isNull() | res.isNull() | spec.rlike(r"\d") | res.rlike(r"\d"))
 
 
-def reprocess_queue(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """I8: reports to read again, with the number of rows that may benefit."""
-    return rows.where(may_benefit()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_worth"))
+def reprocess_queue(rows: DataFrame, keys: list[str], pages: DataFrame) -> DataFrame:
+    """I8: scanned pages with an image to read again, and the number of their rows that may benefit.
+
+    `pages` has engine and has_image per report."""
+    scanned = pages.where((F.col("engine") == PRIMARY_OCR) & F.col("has_image")).select(*keys).distinct()
+    return rows.where(may_benefit()).join(scanned, keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_worth"))
 
 
 def report_verdict(summary: DataFrame, lot_no: Column, page: Column, pages_in_file: Column) -> DataFrame:
@@ -257,8 +264,14 @@ def promote_boundary(rows: DataFrame, grid_source: Column) -> DataFrame:
     })
 
 
-def margin_green(rows: DataFrame, trusted: Column) -> DataFrame:
+def column_trusted(engine: Column, grid_source: Column) -> Column:
+    """H9: columns known from ruling lines, from vector geometry, or from a text layer without a grid; never inferred ones."""
+    return F.coalesce(grid_source.isin(TRUSTED_GRIDS), (engine == "text-layer"), F.lit(False))
+
+
+def margin_green(rows: DataFrame, engine: Column, grid_source: Column) -> DataFrame:
     """H9: clear the review flag of a PASS that is far from its limits in trusted columns."""
+    trusted = column_trusted(engine, grid_source)
     v, lo, hi = F.col("result"), F.col("min"), F.col("max")
 
     def inside(x: Column) -> Column:

@@ -76,12 +76,15 @@ def carry_header(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reprocess_queue(spark: SparkSession, sf: str) -> DataFrame:
-    return R.reprocess_queue(_rows(spark, sf), PAGE)
+    return R.reprocess_queue(_rows(spark, sf), PAGE, fx.page_engines(spark, sf))
 
 
 def keep_best_hq(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _judged(spark, sf)
-    return R.keep_best_hq(rows, PAGE, "flat", "grid").select(*ID, "variant", "status")
+    """The columns of a second reading's grid are inferred, so only a collapse lets that grid replace its plain text."""
+    second = materialize(V.evaluate(fx.second_variants(spark, sf)))
+    second = R.keep_best(second, PAGE, "hq_flat", "hq_grid")
+    best = materialize(_best(_judged(spark, sf)))
+    return R.keep_best_hq(best, materialize(second), PAGE, fx.page_engines(spark, sf)).select(*ID, "variant", "status")
 
 
 def report_verdict(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,7 +138,8 @@ def promote_boundary(spark: SparkSession, sf: str) -> DataFrame:
 
 def margin_green(spark: SparkSession, sf: str) -> DataFrame:
     rows = _rows(spark, sf).withColumn("needs_review", F.col("needs_review") | (F.col("item_seq") % 2 == 0))
-    return R.margin_green(rows, F.col("doc_id") % 3 != 0).select(*ID, "status", "needs_review")
+    rows = rows.join(fx.page_engines(spark, sf), PAGE)
+    return R.margin_green(rows, F.col("engine"), F.col("grid_source")).select(*ID, "status", "needs_review")
 
 
 QUERIES = {f.__name__: f for f in (
