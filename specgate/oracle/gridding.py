@@ -48,6 +48,8 @@ SQL = {
         SELECT {P}, line_no, name, nullif(cs[k + 5], '') AS unit, CAST(NULL AS VARCHAR) AS method, CAST(NULL AS VARCHAR) AS spec_raw, a AS spec_min, b AS spec_max, nullif(cs[k + 4], '') AS result
         FROM s WHERE name IS NOT NULL AND (a IS NOT NULL OR b IS NOT NULL OR cs[k + 4] <> '')""",
     "header_row": f"{CG} SELECT {P}, 'L' || doc_id AS lot_no FROM hd",
+    "lot_numbers": f"""{CG}, {LG.removeprefix(I).removeprefix(', ')} SELECT {P}, 'content' AS layout, 'L' || doc_id AS lot_no FROM hd WHERE page = 1
+        UNION ALL SELECT {P}, 'limits', CASE WHEN doc_id % 3 = 0 THEN 'M-' || doc_id END FROM hh WHERE page > 1""",
     "result_column": f"{CG}, {ROLE} SELECT {P}, result_col FROM ro",
     "spec_column": f"{CG}, {ROLE} SELECT {P}, spec_col, direction FROM ro",
     "items_from_grid": f"""{CG}, {ROLE}, ix AS (SELECT {P}, line_no, first(result_col) AS r, first(spec_col) AS sc, first(direction) AS dir,
@@ -59,7 +61,7 @@ SQL = {
           FROM cg g JOIN ix USING ({P}, line_no) LEFT JOIN s1 USING ({P}, line_no)),
         b AS (SELECT *, CASE WHEN sp IS NULL AND dir <> 'mixed' AND regexp_matches(cs[sc + 1], '^[<>≤≥]?\\s*{N}\\s*%?$') AND NOT regexp_matches(cs[sc + 1], '^[+\\-]\\s*\\d+') THEN TRY_CAST(replace(regexp_extract(cs[sc + 1], '^{N}'), ',', '.') AS DOUBLE) END AS v FROM a),
         c AS (SELECT {P}, line_no, trim(coalesce(sec, '') || ' ' || coalesce(cs[m + 1], '')) AS name, nullif(regexp_replace(cs[u + 1], '[()]', '', 'g'), '') AS unit, cs[me + 1] AS method,
-          sp.raw AS spec_raw, coalesce(sp.lo, CASE WHEN dir = 'lower' THEN v END) AS spec_min, coalesce(sp.hi, CASE WHEN dir = 'upper' THEN v END) AS spec_max, nullif(cs[r + 1], '') AS result, 'content' AS layout FROM b)
+          sp.raw AS spec_raw, coalesce(sp.lo, CASE WHEN dir = 'lower' THEN v END) AS spec_min, coalesce(sp.hi, CASE WHEN dir = 'upper' THEN v END) AS spec_max, nullif(cs[r + 1], '') AS result, 'content' AS layout, CASE WHEN doc_id % 2 = 0 THEN 'L' || doc_id END AS lot_no FROM b)
         SELECT * FROM c WHERE name <> '' AND (spec_raw IS NOT NULL OR spec_min IS NOT NULL OR spec_max IS NOT NULL OR result IS NOT NULL)""",
     "orient_grid": f"""{I}, c AS (SELECT doc_id, page, CASE WHEN doc_id % 2 = 0 THEN k ELSE item_seq END AS row_no, CASE WHEN doc_id % 2 = 0 THEN item_seq ELSE k END AS col_no, cell
           FROM (SELECT doc_id, page, item_seq, unnest([0, 1, 2]) AS k, unnest([name, coalesce(spec_raw, ''), coalesce(result, '')]) AS cell FROM items)),
