@@ -168,12 +168,16 @@ def near_duplicates(
         joined = components(scratch, links).select(F.col("v").alias("class"), F.col("component").alias("now"))
         component = scratch.write(shared.select("class").join(joined, "class", "left").select("class", F.coalesce("now", "class").alias("component")))
         number += 1
-        if found.count() * FEW <= n_shared:
+        last = found.count() * FEW <= n_shared
+        members = posted.join(component, "class")  # tokens whose classes are all joined link nothing any more
+        mixed = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+        members = scratch.write(members.join(mixed.select("token"), "token", "left_semi").select("class", "fame", "token"))
+        scratch.drop(posted)
+        posted = members
+        if last:
             break
 
     posted = posted.select("class", "token").join(component, "class")
-    mixed = posted.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    posted = posted.join(mixed.filter("low != high").select("token"), "token", "left_semi")
     posted = posted.join(shared.select("class", "n", "usable", "tokens", prefix.alias("first")), "class")
     posted = scratch.write(posted.join(sets, "class"))
     other = posted.select(F.col("token").alias("t"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("theirs"),
