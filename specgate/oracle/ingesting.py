@@ -7,8 +7,9 @@ from specgate.oracle import base as B
 P = "doc_id, page"
 I = f"WITH {B.ITEMS}"
 EV = f"{I}, {B.evaluated()}"
-PG = """pg AS (SELECT doc_id // 4 AS doc_id, CAST(doc_id % 4 + 1 AS INT) AS page, source,
-  CASE WHEN doc_id % 6 = 0 OR doc_id // 4 IN (3, 5) THEN ' ' ELSE text END AS text FROM documents)"""
+PG = """pg AS (SELECT doc_id // 4 AS doc_id, CAST(doc_id % 4 + 2 AS INT) AS page, source, text FROM documents
+  UNION ALL SELECT doc_id // 4, 1, source, ' ' FROM documents WHERE doc_id % 8 = 0
+  UNION ALL SELECT -1 - doc_id // 4, CAST(doc_id % 4 + 1 AS INT), source, ' ' FROM documents WHERE doc_id // 4 IN (3, 5))"""
 CH = "length(regexp_replace(text, '\\s+', '', 'g'))"
 SRC = "CASE doc_id % 3 WHEN 0 THEN 'lines' WHEN 1 THEN 'vector-geom' ELSE 'none' END"
 GR = f"g AS (SELECT DISTINCT {P}, CASE WHEN doc_id % 2 = 0 THEN 'a | b ' || page ELSE '' END AS grid, {SRC} AS source, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 6 END AS n FROM items)"
@@ -36,7 +37,8 @@ SQL = {
     "write_relational": f"{EV} SELECT sha256(doc_id || '|' || page) AS report_id, {P}, {CNT}, count(*) AS n_items FROM ev GROUP BY {P}",
     "public_view": f"WITH {PG} SELECT {P}, source, CASE WHEN page = 1 THEN 'tesseract' ELSE 'text-layer' END AS ocr_engine FROM pg",
     "usable_text": f"WITH {PG} SELECT {P}, {CH} >= 300 AS as_text_layer, {CH} >= 50 AS as_ocr FROM pg",
-    "select_page_text": f"""WITH {PG}, c AS (SELECT *, CASE WHEN doc_id % 3 = 0 AND {CH} >= 300 THEN 'text-layer' WHEN (doc_id + page) % 5 > 0 AND {CH} >= 50 THEN 'rapidocr' WHEN doc_id % 9 <> 4 THEN 'tesseract' END AS engine FROM pg)
+    "select_page_text": f"""WITH {PG}, p2 AS (SELECT *, true AS fallback FROM pg UNION ALL SELECT doc_id // 4, 7, source, 'thin', false FROM documents WHERE doc_id // 4 % 9 = 4 AND doc_id % 4 = 0),
+        c AS (SELECT *, CASE WHEN doc_id % 3 = 0 AND {CH} >= 300 THEN 'text-layer' WHEN (doc_id + page) % 5 <> 0 AND {CH} >= 50 THEN 'rapidocr' WHEN fallback THEN 'tesseract' END AS engine FROM p2)
         SELECT {P}, engine, CASE WHEN engine IS NOT NULL THEN text END AS text,
         CASE WHEN engine IS NULL THEN 'no readable text' WHEN engine = 'tesseract' THEN 'primary recognition missing or thin' END AS error FROM c""",
     "drop_blank_pages": f"""WITH {PG} SELECT {P}, text, false AS placeholder FROM pg WHERE trim(text) <> ''

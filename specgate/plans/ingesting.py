@@ -21,16 +21,22 @@ PAGE, ID = fx.PAGE, fx.ITEM
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as pages, four to a file; every sixth page is blank, two files are blank altogether."""
-    return fx.table(spark, sf, "documents").selectExpr(
-        "doc_id div 4 AS doc_id", "CAST(doc_id % 4 + 1 AS INT) AS page", "source",
-        "CASE WHEN doc_id % 6 = 0 OR doc_id div 4 IN (3, 5) THEN ' ' ELSE text END AS text")
+    """Documents as pages two to five of their files; beside them a blank first page in every second file, and two files of
+    blank pages only."""
+    d = fx.table(spark, sf, "documents").select("doc_id", "source", "text")
+    real = d.selectExpr("doc_id div 4 AS doc_id", "CAST(doc_id % 4 + 2 AS INT) AS page", "source", "text")
+    first = d.where("doc_id % 8 = 0").selectExpr("doc_id div 4 AS doc_id", "1 AS page", "source", "' ' AS text")
+    blank = d.where("doc_id div 4 IN (3, 5)").selectExpr("-1 - doc_id div 4 AS doc_id", "CAST(doc_id % 4 + 1 AS INT) AS page", "source", "' ' AS text")
+    return real.unionByName(first).unionByName(blank)
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Three engines for every page, text missing from some; beside them seventh pages without a fallback reading."""
     p = _pages(spark, sf).withColumn("engine", F.explode(F.array(*[F.lit(e) for e in ("text-layer", "rapidocr", "tesseract")])))
-    gone = "(engine = 'text-layer' AND doc_id % 3 > 0) OR (engine = 'rapidocr' AND (doc_id + page) % 5 = 0)"
-    return p.where("engine <> 'tesseract' OR doc_id % 9 <> 4").withColumn("text", F.expr(f"CASE WHEN {gone} THEN '' ELSE text END"))
+    gone = "(engine = 'text-layer' AND doc_id % 3 <> 0) OR (engine = 'rapidocr' AND (doc_id + page) % 5 = 0)"
+    thin = fx.table(spark, sf, "documents").where("doc_id div 4 % 9 = 4 AND doc_id % 4 = 0").selectExpr(
+        "doc_id div 4 AS doc_id", "7 AS page", "source", "'thin' AS text", "explode(array('text-layer', 'rapidocr')) AS engine")
+    return p.withColumn("text", F.expr(f"CASE WHEN {gone} THEN '' ELSE text END")).unionByName(thin)
 
 
 def upload_names(spark: SparkSession, sf: str) -> DataFrame:
