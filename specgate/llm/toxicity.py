@@ -238,7 +238,8 @@ def learn(scratch: Scratch, docs: DataFrame, labels: DataFrame, sample_rows: int
     """Lexicon and weights from the rows that are not held out."""
     known = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known.hint("shuffle_hash"), "doc_id")
+    known = F.broadcast(known)  # at most sample_rows ids, so that no text but the sample's is shuffled
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
     sample = sample.groupBy("text").agg(F.min(F.struct("doc_id", "toxic")).alias("first")).select("text", "first.*")  # copies count once
     sample = sample.select("text", "toxic", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int").alias("half"))
     sample = scratch.write(sample)
