@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -99,11 +101,19 @@ def on_workers(function: Callable, *args) -> Callable:
 
         if root not in sys.path:
             sys.path.append(root)
-        return getattr(importlib.import_module(module), name)(batches, *args)
+        yield from getattr(importlib.import_module(module), name)(batches, *args)
+        importlib.import_module("specgate.llm.common").release()
 
     return call
 
 
+def release() -> None:
+    """Gives freed memory back, so that idle workers hold little while other stages run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text; a longer text is a batch of its own."""
     for batch in batches:

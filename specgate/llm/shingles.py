@@ -100,8 +100,8 @@ def _coordinates(k: int) -> tuple[np.ndarray, np.ndarray]:
 def signature(shingles: np.ndarray, k: int) -> np.ndarray:
     """The least 32-bit value of the shingles under each of k hash functions."""
     factor, shift = _coordinates(k)
-    least = np.full(k, np.iinfo("u4").max, "u4")
-    for at in range(0, len(shingles), 2048):
-        values = ((shingles[at : at + 2048, None] ^ shift) * factor) >> np.uint64(32)
+    least, step = np.full(k, np.iinfo("u4").max, "u4"), max(64, (1 << 17) // k)
+    for at in range(0, len(shingles), step):
+        values = ((shingles[at : at + step, None] ^ shift) * factor) >> np.uint64(32)
         least = np.minimum(least, values.min(axis=0).astype("u4"))
     return least

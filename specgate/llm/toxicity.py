@@ -39,7 +39,7 @@ ENTRIES = 2_000
 #: Shortest beginning that can be an entry, and shortest entry that is also found with one edit.
 LEAST_START, LEAST_EDITED = 4, 5
 WINDOW = 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 THRESHOLD = 0.7
 
 WORDS = re.compile(r"[^\W_]+")
@@ -139,7 +139,7 @@ class Automaton:
         return {w: k for w in words if (k := known[w])}
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def automaton(words: tuple[str, ...], starts: tuple[str, ...]) -> Automaton:
     return Automaton(list(words), list(starts))
 
