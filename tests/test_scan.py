@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from specgate import scan
 from specgate.operators import layout
 from specgate.operators.sieve import descending_pages
+from specgate.session import materialize
 
 PAGE = ["doc_id", "page"]
 
@@ -65,3 +66,27 @@ def test_falling_openings(spark):
     rows += [(1, 6, 4_095, 5.0), (1, 6, 4_096, 6.0), (1, 6, 9_000, 1.0)]  # grows from one band to the next
     d = spark.createDataFrame(rows, "doc_id long, page int, item_seq long, opening double")
     assert {x["page"] for x in descending_pages(d, "item_seq").collect()} == {1, 4}
+
+
+def test_bands_and_plain_windows_agree(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(1, p, float(r.randint(0, 900)), k, r.choice((None, k))) for p, n in ((1, 700), (2, 1), (3, 40)) for k in range(n)]
+    d = spark.createDataFrame(rows, "doc_id long, page int, v double, seq long, mark long")
+    found = []
+    for band_rows in (50, 10_000):
+        monkeypatch.setattr(scan, "BAND_ROWS", band_rows)
+        assert scan.oversized(d, PAGE) == (band_rows == 50)
+        x = scan.islands(d, PAGE, "v", ["seq"], 2.0, "island")
+        x = scan.number_rows(x, PAGE, F.floor(F.col("seq") / 64), ["seq"], "no")
+        x = scan.running_sum(x, PAGE, F.floor(F.col("seq") / 64), ["seq"], F.col("mark"), "total")
+        x = scan.fill_forward(x, PAGE, "seq", {"last": "mark"}, 64)
+        x = scan.upper_median(x, PAGE, "v", "median", 20.0)
+        found.append((x.schema.simpleString(), sorted(tuple(c or 0 for c in y) for y in x.collect())))
+    assert found[0] == found[1]
+
+
+def test_large_tables_are_not_sent_through_the_driver(spark):
+    """300,000 repeating rows make a file of a few kilobytes, which the planner took for a small table."""
+    d = materialize(spark.range(300_000).selectExpr("1L AS doc_id", "1 AS page", "id % 7 AS k"))
+    other = d.groupBy("k").agg(F.count("*").alias("n"))
+    assert "Broadcast" not in d.join(other, "k")._jdf.queryExecution().executedPlan().toString()
