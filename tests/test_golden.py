@@ -253,3 +253,19 @@ def test_scans_over_band_borders(spark):
     assert all(filled[i] == str(i // 40 * 40) for i in range(300))
     pos = {r.seq: r.p for r in number_rows(df, ["k"], F.floor(F.col("seq") / 7), ["seq"], "p").collect()}
     assert pos == {i: i + 1 for i in range(300)}
+
+
+def test_distinct_texts_are_parsed_once(spark, monkeypatch):
+    """Joined back by broadcast, without a shuffle of the rows, as in place; nulls and spaces are texts of their own."""
+    from specgate.functions import binding
+
+    texts = [None, "", " 5 ", "5", "<3", "1 2", '{"avg": 2}', "White"]
+    rows = [(i, texts[i % 8], texts[i // 8 % 8], texts[i // 64 % 8], texts[i // 3 % 8]) for i in range(512)]
+    df = spark.createDataFrame(rows, "id long, spec_raw string, spec_min string, spec_max string, result string").selectExpr(
+        "*", "'n' AS name", "'u' AS unit", "CAST(NULL AS STRING) AS method")
+    once = verdict.evaluate(df)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    monkeypatch.setattr(binding, "DISTINCT", 0)
+    in_place = verdict.evaluate(df)
+    assert once.columns == in_place.columns and sorted(map(str, once.collect())) == sorted(map(str, in_place.collect()))
