@@ -269,3 +269,24 @@ def test_distinct_texts_are_parsed_once(spark, monkeypatch):
     monkeypatch.setattr(binding, "DISTINCT", 0)
     in_place = verdict.evaluate(df)
     assert once.columns == in_place.columns and sorted(map(str, once.collect())) == sorted(map(str, in_place.collect()))
+
+
+def test_header_lines_need_no_classified_cells(spark):
+    """Header alignment reads the cells only; the patterns of the cell roles are not searched for it."""
+    rows = grid.raw_rows(lines(spark, ["Item | Min | Max | Result", "Ash | 1 | 2 | 1.5", "Fat | 3 | 4 | 3.5"]))
+    found = grid.detect_limit_header(grid.align_header(rows))
+    assert "ASTM" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.select("name_at", "lower_at", "upper_at", "result_at").collect() == [(0, 1, 2, 3)]
+
+
+def test_classified_cells(spark):
+    cells = ["", "7 ± 3", "Max. 5", "5 MIN", "≤ 4", ">= 2,5", "< 3 %", "+100", "-100/+200", "min", "(mm)", "(7 - 9)", "ISO 3310", "12"]
+    rows = grid.grid_cells(lines(spark, [" | ".join(cells)])).selectExpr("inline(cells)").collect()
+    got = {r["c"]: (r["spec_raw"], r["spec_min"], r["spec_max"], r["bare"], r["mesh"], r["method"], r["unit"]) for r in rows}
+    no = (False, False, False, False)
+    assert got == {
+        "": (None, None, None, *no), "7 ± 3": ("7 ± 3", None, None, *no), "Max. 5": (None, None, 5.0, *no), "5 MIN": (None, 5.0, None, *no),
+        "≤ 4": (None, None, 4.0, True, False, False, False), ">= 2,5": (None, 2.5, None, *no), "< 3 %": (None, None, None, True, False, False, False),
+        "+100": (None, None, None, False, True, False, False), "-100/+200": (None, None, None, False, True, False, False),
+        "min": (None, None, None, *no), "(mm)": (None, None, None, False, False, False, True), "(7 - 9)": (None, None, None, False, False, False, True),
+        "ISO 3310": (None, None, None, False, False, True, False), "12": (None, None, None, True, False, False, False)}
