@@ -202,6 +202,36 @@ def test_all_offsets(spark):
     assert got == expected and len(got) >= 30
 
 
+def test_sung_in_one_pass(spark, monkeypatch):
+    """Documents sung as they are read give what their recordings give, also repeated rows; no integers are kept for it."""
+    base = prose(98, 120).split(" ")
+    rows = [(100, " ".join(base)), (101, " ".join(base[30:])), (101, " ".join(base[30:])), (99, " ".join(base)), (200, prose(99, 80)), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    written, write = [], audio.Scratch.write
+    monkeypatch.setattr(audio.Scratch, "write", lambda self, df: (written.append(df.columns), write(self, df))[1])
+    one, other = ([sorted(map(str, d.collect())) for d in pair] for pair in (audio.align(docs, sung=True), audio.align(audio.sing(docs))))
+    assert one == other and len(one[0]) == len(rows) and len(one[1]) == 1
+    assert sum("prints" in columns for columns in written) == 2  # of each call, the queries alone
+
+
+def test_frames_are_remembered(monkeypatch):
+    """Equal frames are transformed once, with equal results; audio that does not repeat, and a full memory, change nothing."""
+    r = np.random.default_rng(5)
+    tones = r.integers(-9000, 9000, (9, audio.HOP)).astype("f4")
+    sung = [tones[r.integers(0, 9, n)].ravel() for n in (400, 3, 900)]
+    noise = r.integers(-9000, 9000, 90 * audio.HOP + 50).astype("f4")
+    done, pitches = [], audio._pitches
+    monkeypatch.setattr(audio, "_pitches", lambda blocks, at: (done.append(len(at)), pitches(blocks, at))[1])
+    got = audio.prints_of_all(sung)
+    assert sum(done) <= 81 and [len(p) for p in got] == [392, 0, 892]
+    audio.prints_of_all(sung)
+    assert sum(done) <= 81
+    audio.prints_of_all([noise])
+    monkeypatch.setattr(audio, "_chroma", pitches)
+    assert all((a == b).all() for a, b in zip(got, audio.prints_of_all(sung), strict=True))
+    assert (audio.prints_of(noise) == audio.prints_of_all([sung[0], noise])[1]).all()
+
+
 def test_wav():
     x = (3000 * np.sin(np.arange(5000) / 7)).astype("i2")
     assert (audio.samples_of(audio.wav(x)) == x).all()
