@@ -214,6 +214,49 @@ def test_sung_in_one_pass(spark, monkeypatch):
     assert sum("prints" in columns for columns in written) == 2  # of each call, the queries alone
 
 
+def test_pairs_are_not_kept(spark, monkeypatch):
+    """No table lists pairs, however the queries are dealt into parts; the best of each class and their number are those of all alignments."""
+    base = prose(101, 150).split(" ")
+    rows = [(k, " ".join(base[k % 7 * 10 : 90 + k % 11 * 5] + prose(400 + k % 20, 30).split(" "))) for k in range(60)]
+    docs = spark.createDataFrame([*rows, (61, "same " * 300), (70, "same " * 200)], "doc_id long, text string")
+    written, write = [], audio.Scratch.write
+    monkeypatch.setattr(audio.Scratch, "write", lambda self, df: (written.append(df.columns), write(self, df))[1])
+    found = audio.align(docs, every=10, sung=True)[1].collect()
+    assert not any("some" in columns for columns in written) and len(found) > 100
+    expected = {}
+    for r in found:
+        expected.setdefault(r["b"], []).append((r["aligned_frames"], -r["bit_error"], -r["a"], r["offset"]))
+    for held in (audio.HELD, 300):
+        monkeypatch.setattr(audio, "HELD", held)
+        got = {}
+        for r in audio.align(docs, every=10, sung=True, best=True)[1].collect():
+            got.setdefault(r["b"], []).append((r["n"], (r["aligned_frames"], -r["bit_error"], -r["a"], r["offset"])))
+        assert {b: (sum(n for n, _ in v), max(r for _, r in v)) for b, v in got.items()} == {b: (len(v), max(v)) for b, v in expected.items()}
+        assert (max(map(len, got.values())) > 1) == (held == 300)
+
+
+def test_many_pairs_at_once(monkeypatch):
+    """Pairs that are verified together give what each gives alone: copies with errors, repeats, one integer throughout, silence."""
+    r = np.random.default_rng(7)
+    base = r.integers(0, 1 << 32, 400, dtype="u4")
+    noise = lambda p, n: p ^ np.where(r.random(len(p)) < 0.7, 0, np.uint32(1) << r.integers(0, 32, len(p)).astype("u4") | np.uint32(n)).astype("u4")
+    xs = [base, noise(base[50:200], 5), np.concatenate([base[:40]] * 5), np.full(120, base[0]), base[:10], r.integers(0, 1 << 32, 300, dtype="u4"),
+          np.concatenate([np.full(30, audio._silence(), "u4"), base[100:130], noise(base[130:180], 3)]), np.concatenate([base[:17], base[300:]])]
+    queries = audio._Queries(list(enumerate(xs)))
+    assert not list(queries.aligned(r.integers(0, 1 << 32, 5, dtype="u4"), -1)) and not list(audio._Queries([]).aligned(base, -1))
+    seen = 0
+    for together, alone in ((audio.TOGETHER, audio.ALONE), (64, audio.ALONE), (audio.TOGETHER, 100)):
+        monkeypatch.setattr(audio, "TOGETHER", together)
+        monkeypatch.setattr(audio, "ALONE", alone)
+        for b, y in enumerate([*xs, noise(base, 9), np.concatenate([base[20:60]] * 3 + [np.full(50, base[0])])]):
+            alike = {a for a, x in enumerate(xs) if a != b and set(audio._twos(x)) & set(audio._twos(y))}
+            expected = {a: audio.best_offset(xs[a], y) for a in alike}
+            got = {int(a): (int(o), int(n), float(e)) for part in queries.aligned(y, b) for a, o, n, e in zip(*part, strict=True)}
+            assert got == {a: v for a, v in expected.items() if v[1] >= audio.LEAST_FRAMES}
+            seen += len(got)
+    assert seen >= 60
+
+
 def test_frames_are_remembered(monkeypatch):
     """Equal frames are transformed once, with equal results; audio that does not repeat, and a full memory, change nothing."""
     r = np.random.default_rng(5)
