@@ -290,3 +290,17 @@ def test_classified_cells(spark):
         "+100": (None, None, None, False, True, False, False), "-100/+200": (None, None, None, False, True, False, False),
         "min": (None, None, None, *no), "(mm)": (None, None, None, False, False, False, True), "(7 - 9)": (None, None, None, False, False, False, True),
         "ISO 3310": (None, None, None, False, False, True, False), "12": (None, None, None, True, False, False, False)}
+
+
+def test_cells_are_read_once_for_column_roles(spark):
+    """One step of the plan classifies cells; headers are found the same way by a join and by a window."""
+    text = ["Item | Method | Spec | Result", "Ash | ISO 1 | ≤ 5 | 3", "Fat |  | Max 7 | 4", "Fibre |  | 1 - 9 |  "]
+    pages = lines(spark, text).unionByName(lines(spark, text[1:]).withColumn("doc_id", F.lit(8).cast("long")))
+    rows = grid.raw_rows(pages)
+    data = grid.data_rows(rows, large=False)
+    key = ["doc_id", "page", "line_no", "raw"]
+    assert sorted(data.select(key).collect()) == sorted(grid.data_rows(rows).select(key).collect()) and data.count() == 6
+    plan = grid.column_roles(grid.raw_rows(pages))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("spec_raw, lambda") + plan.count("ASTM") <= 1
+    got = {r.doc_id: (r.result_col, r.spec_col, r.direction) for r in grid.column_roles(data).collect()}
+    assert len(got) == 2 and set(got.values()) == {(3, 2, "upper")}
