@@ -90,3 +90,26 @@ def test_characters_are_not_shuffled(spark):
     from specgate.plans.layouting import kerned_rows
 
     assert exchanges(layout.merge_kerned_rows(kerned_rows(layout.cluster_rows_textlayer(tokens(spark))))) == 1
+
+
+def test_kerned_runs_with_gaps(spark):
+    """Runs of numbers that touch throughout, in part or not at all, with blanks and letters between; only those with gaps are folded."""
+    def chunks(text, width=6.0, gaps=()):
+        x, out = 0.0, []
+        for k, c in enumerate(text):
+            x += 9.0 if k in gaps else 0.0
+            out.append((x, k, c, width))
+            x += width
+        return out
+
+    rows = [(1, 1, 0, chunks("a12.5%b")), (1, 1, 1, chunks("1234", gaps=(2,))), (1, 1, 2, chunks("12 34")), (1, 1, 3, chunks("9x8")),
+            (1, 1, 4, [(0.0, 0, "1 ", 6.0), (6.0, 1, "2", 6.0), (12.0, 2, "3", 6.0)]), (1, 1, 5, [(0.0, 0, "1", None), (6.0, 1, "2", 6.0)]), (1, 1, 6, [])]
+    df = spark.createDataFrame(rows, "doc_id long, page int, row_no long, toks array<struct<x:double,token_seq:bigint,text:string,width:double>>")
+    merged = layout.merge_kerned_rows(df)
+    got = {}
+    for r in sorted(merged.collect(), key=lambda r: (r.row_no, r.token_seq)):
+        got.setdefault(r.row_no, []).append((r.text, r.width))
+    assert got == {0: [("a", 6), ("12.5%", 30), ("b", 6)], 1: [("12", 12), ("34", 12)], 2: [("12", 12), (" ", 6), ("34", 12)], 3: [("9", 6), ("x", 6), ("8", 6)],
+                   4: [("1 2", 12), ("3", 6)], 5: [("1", None), ("2", 6)]}
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" in plan and "concat(filter(toks" in plan  # touching runs are joined, other chunks pass as they are
