@@ -304,3 +304,18 @@ def test_cells_are_read_once_for_column_roles(spark):
     assert plan.count("spec_raw, lambda") + plan.count("ASTM") <= 1
     got = {r.doc_id: (r.result_col, r.spec_col, r.direction) for r in grid.column_roles(data).collect()}
     assert len(got) == 2 and set(got.values()) == {(3, 2, "upper")}
+
+
+def test_written_grid_rows_are_counted(spark, monkeypatch):
+    """Header bands are carried down without computing the joined rows once more to count them; only cells that are a number make a row."""
+    from specgate import scan
+
+    def joined(*_):
+        raise AssertionError("counted again")
+
+    monkeypatch.setattr(scan, "oversized", joined)
+    text = ["Property | Batch | | Specification |", "Property | Min | Max | Min | Max", "Fiber Length | < 0.99 % | 1.180 | 0.920 | 1.420",
+            "Fiber Lcngth | 0.995 | 1.170 | 0.920 | 1.420", "Fiber Length | n/a | - | x | y"]
+    its = items(spark, [("Fiber Length", None, None, "0.990~1.180", None, None, "1.09")])
+    got = recover.recover_spec_column(its, lines(spark, text), ID).collect()
+    assert [(r.spec_raw, r.spec_column) for r in got] == [("0.920~1.420", True)]
